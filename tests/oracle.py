@@ -63,7 +63,7 @@ if __name__ == "__main__":
     sf = sys.argv[1] if len(sys.argv) > 1 else "0.001"
     wanted = sys.argv[2:]
     spark = build_session("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
-                                                  "spark.ui.enabled": "false"})
+                                                  "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     folder = f"{ROOT}/sf{sf}"
     con = duck(folder)
