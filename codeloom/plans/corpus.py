@@ -19,8 +19,8 @@ _STAR = "'corpus' AS repo_id"
 
 VIEWS: dict[str, str] = {
     "fx_module": """
-SELECT n_nationkey, lower(r_name) || '.' || lower(replace(n_name, ' ', '_')) AS module,
-       lower(r_name) || '/' || lower(replace(n_name, ' ', '_')) AS folder
+SELECT n_nationkey, replace(lower(r_name || '.' || n_name), ' ', '_') AS module,
+       replace(lower(r_name || '/' || n_name), ' ', '_') AS folder
 FROM {nation} JOIN {region} ON n_regionkey = r_regionkey""",
 
     "fx_part": """
@@ -132,6 +132,55 @@ SELECT doc_id, text AS document,
     ELSE text || chr(10) || '<python_list>["m' || CAST(doc_id AS STRING) || '", broken "S1"</python_list>' END AS response
 FROM {documents}""",
 
+    # Python files: one per part, one base module per nation, the package files above them
+    "fx_sources": f"""
+SELECT {_STAR}, folder || '/p' || CAST(p_partkey AS STRING) || '.py' AS relative_path, CASE WHEN p_type = 'PROMO' THEN 'def (' ELSE
+  concat_ws(chr(10),
+    'from ' || replace(folder, '/', '.') || '.base import Base, registered as reg',
+    'from .base import *',
+    'import warnings',
+    '',
+    '@reg',
+    'class P' || CAST(p_partkey AS STRING) || '(Base):',
+    '    ' || repeat(chr(34), 3) || p_name || repeat(chr(34), 3),
+    '    size: int = ' || CAST(p_size AS STRING),
+    '',
+    '    def __init__(self, brand: str = ' || chr(39) || p_brand || chr(39) || '):',
+    '        self.brand = brand',
+    '',
+    '    def price(self, qty: int) -> float:',
+    '        if qty < 0:',
+    '            raise ValueError(qty)',
+    '        return qty * ' || CAST(p_size AS STRING),
+    '',
+    '    async def items(self):',
+    '        yield helper(self.brand)',
+    '',
+    'def make_p' || CAST(p_partkey AS STRING) || '(brand, *args):',
+    '    ' || repeat(chr(34), 3) || 'Build one.' || repeat(chr(34), 3),
+    '    warnings.warn(' || chr(39) || p_type || chr(39) || ', UserWarning)',
+    '    return P' || CAST(p_partkey AS STRING) || '(brand)',
+    '') END AS source
+FROM fx_method
+UNION ALL
+SELECT {_STAR}, m.folder || '/base.py', concat_ws(chr(10),
+    CASE WHEN n.module IS NULL THEN '# the last one' ELSE 'import ' || n.module || '.base' END,
+    'def registered(cls):',
+    '    return cls',
+    'class Root:',
+    '    def describe(self):',
+    '        return 1',
+    'class Base(Root):',
+    '    kind = ' || chr(39) || 'base' || chr(39),
+    'def helper(x):',
+    '    return x',
+    '')
+FROM fx_module m LEFT JOIN fx_module n ON n.n_nationkey = m.n_nationkey + 1
+UNION ALL
+SELECT {_STAR}, folder || '/__init__.py', 'from .base import Base, helper' || chr(10) FROM fx_module
+UNION ALL
+SELECT {_STAR}, replace(lower(r_name), ' ', '_') || '/__init__.py', '' FROM {{region}}""",
+
     "fx_task_events": """
 SELECT CAST(user_id AS STRING) AS task_id, event_id AS seq, ts,
   CASE event_type WHEN 'signup' THEN 'pending' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'processing' END AS status,

@@ -6,7 +6,7 @@ import io
 import zipfile
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,21 +70,27 @@ def scan_sources(spark: SparkSession, root: str, repos: str | None = None, relev
                           module_path(rel).alias("module_path"), "source")
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+_MEMBERS = pa.schema([("archive", pa.string()), ("member", pa.string()), ("content", pa.binary())])
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files inside each archive, one output batch per file; a damaged archive has none."""
+    def row(archive: str, member: str, content: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(archive=archive, member=member, content=content)], schema=_MEMBERS)
+
     for batch in batches:
-        for archive, content in zip(batch["archive"], batch["content"]):
+        for file in batch.to_pylist():
+            archive, content = file["archive"], file["content"]
             if not archive.endswith(".zip"):
-                yield pd.DataFrame({"archive": [archive], "member": [archive.rsplit("/", 1)[-1]],
-                                    "content": [content]})
+                yield row(archive, archive.rsplit("/", 1)[-1], content)
                 continue
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for info in z.infolist():
                         if not info.is_dir():
-                            yield pd.DataFrame({"archive": [archive], "member": [info.filename],
-                                                "content": [z.read(info)]})
+                            yield row(archive, info.filename, z.read(info))
             except zipfile.BadZipFile:
-                yield pd.DataFrame({"archive": [archive], "member": [None], "content": [None]})
+                continue
 
 
 def expand_archives(archives: DataFrame) -> DataFrame:
@@ -95,8 +101,7 @@ def expand_archives(archives: DataFrame) -> DataFrame:
     """
     members = (
         archives.select(F.col("path").alias("archive"), "content")
-        .mapInPandas(_members, "archive string, member string, content binary")
-        .where(F.col("member").isNotNull())
+        .mapInArrow(_members, "archive string, member string, content binary")
     )
     top = F.substring_index("member", "/", 1)
     roots = (
