@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["expressions", "sources", "graphs", "quality"]
+MODULES = ["expressions", "sources", "graphs", "quality", "generation"]
 
 
 def load_all() -> None:

@@ -181,6 +181,19 @@ SELECT {_STAR}, folder || '/__init__.py', 'from .base import Base, helper' || ch
 UNION ALL
 SELECT {_STAR}, replace(lower(r_name), ' ', '_') || '/__init__.py', '' FROM {{region}}""",
 
+    # context parts of every customer's function: its order lines, its class and the classes of its market
+    "fx_parts": f"""
+SELECT {_STAR}, id, kind, CAST(row_number() OVER (PARTITION BY id, kind ORDER BY part_id, content) AS BIGINT) AS pos, part_id,
+       CASE kind WHEN 'class' THEN 'class_skeleton' WHEN 'external' THEN 'answer' WHEN 'usage' THEN 'snippet' ELSE 'documentation' END AS type, content
+FROM (
+  SELECT DISTINCT f.id, CASE l_linenumber % 3 WHEN 0 THEN 'dependency' WHEN 1 THEN 'usage' ELSE 'external' END AS kind,
+         CASE l_linenumber % 3 WHEN 2 THEN 'k' || CAST(l_orderkey AS STRING) ELSE m.id END AS part_id,
+         repeat('tok ', CAST(l_quantity AS INT)) || CAST(l_orderkey AS STRING) AS content
+  FROM {{orders}} JOIN {{lineitem}} ON o_orderkey = l_orderkey
+  JOIN fx_function f ON f.c_custkey = o_custkey JOIN fx_method m ON m.p_partkey = l_partkey
+  UNION ALL SELECT id, 'class', 'mod.' || c_mktsegment, 'class ' || c_mktsegment FROM fx_function
+  UNION ALL SELECT f.id, 'parent', module || '.Parent', repeat('up ', CAST(f.c_custkey % 50 AS INT)) FROM fx_function f JOIN fx_module m ON m.folder = f.folder) t""",
+
     "fx_task_events": """
 SELECT CAST(user_id AS STRING) AS task_id, event_id AS seq, ts,
   CASE event_type WHEN 'signup' THEN 'pending' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'processing' END AS status,
