@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["expressions", "sources", "graphs", "quality", "generation"]
+MODULES = ["expressions", "sources", "graphs", "quality", "generation", "streams"]
 
 
 def load_all() -> None:

@@ -197,15 +197,16 @@ every AS (SELECT * FROM found UNION ALL SELECT DISTINCT id, 'note', '' FROM foun
 
 
 def checked(c: Corpus) -> tuple[DataFrame, DataFrame]:
-    docs = c.sql("""SELECT repo_id, id, k, CASE WHEN k % 13 = 0 THEN NULL ELSE named_struct(
+    base = cut(c.components)
+    docs = c.spark.sql("""SELECT repo_id, id, k, CASE WHEN k % 13 = 0 THEN NULL ELSE named_struct(
         'short_summary', 'S', 'parameters', concat(array(named_struct('name', '**a' || CAST(k % 7 AS STRING), 'type', CASE k % 2 WHEN 0 THEN 'Dict[("str", int)]' ELSE 'int' END)),
            CASE WHEN component_type = 'class' THEN array() ELSE array(named_struct('name', 'b' || CAST(k % 3 AS STRING), 'type', '')) END),
         'returns', array(named_struct('type', CASE k % 4 WHEN 0 THEN 'List [ int ]' WHEN 1 THEN 'str' WHEN 2 THEN '' ELSE 'List[int]' END, 'description', 'd')),
         'raises', array(named_struct('error', 'E' || CAST(k % 2 AS STRING), 'description', 'd')),
-        'yields', CASE WHEN k % 3 = 0 THEN array(named_struct('type', 't', 'description', 'd')) END) END AS doc FROM fx_components""")
-    params = c.sql("""SELECT repo_id, id AS component_id, explode(array('self', 'a' || CAST(k % 5 AS STRING))) AS name, "Dict[('str', int)]" AS annotation FROM fx_components""")
-    facts = c.sql("SELECT repo_id, id AS component_id, 'List[int]' AS return_annotation, k % 11 = 0 AS has_yield FROM fx_components")
-    raises = c.sql("SELECT repo_id, id AS component_id, 'E' || CAST(k % 3 AS STRING) AS name FROM fx_components")
+        'yields', CASE WHEN k % 3 = 0 THEN array(named_struct('type', 't', 'description', 'd')) END) END AS doc FROM {base}""", base=base)
+    params = c.spark.sql("""SELECT repo_id, id AS component_id, explode(array('self', 'a' || CAST(k % 5 AS STRING))) AS name, "Dict[('str', int)]" AS annotation FROM {base}""", base=base)
+    facts = c.spark.sql("SELECT repo_id, id AS component_id, 'List[int]' AS return_annotation, k % 11 = 0 AS has_yield FROM {base}", base=base)
+    raises = c.spark.sql("SELECT repo_id, id AS component_id, 'E' || CAST(k % 3 AS STRING) AS name FROM {base}", base=base)
     return docs, V.static_findings(docs, params, facts, raises)
 
 

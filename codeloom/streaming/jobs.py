@@ -42,8 +42,8 @@ def pair_calls(starts: DataFrame, ends: DataFrame, delay: str = "10 minutes", lo
     chain tags.  On streams unmatched ends appear once the watermark of both
     inputs has passed them.
     """
-    s = starts.select("run_id", "tags", F.col("ts").alias("start_ts")).withWatermark("start_ts", delay).alias("s")
-    e = ends.withWatermark("ts", delay).alias("e")
+    s = starts.select("run_id", "tags", F.col("ts").cast("timestamp").alias("start_ts")).withWatermark("start_ts", delay).alias("s")
+    e = ends.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).alias("e")
     joined = e.join(s, F.expr(f"e.run_id = s.run_id AND s.start_ts <= e.ts AND s.start_ts >= e.ts - INTERVAL {longest}"), "left_outer")
     return joined.select("e.run_id", "e.component_id", "e.ts", "e.input_tokens", "e.output_tokens", "e.total_tokens",
                          call_tag().alias("agent"))
@@ -54,7 +54,7 @@ def running_usage(calls: DataFrame, delay: str = "10 minutes", window: str | Non
     keys = [F.col("component_id"), F.col("agent")]
     if window:
         keys = [F.window("ts", window).alias("window"), *keys]
-    return calls.withWatermark("ts", delay).groupBy(*keys).agg(
+    return calls.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("call_count"), F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"), F.sum("total_tokens").alias("total_tokens"))
 
