@@ -8,6 +8,7 @@ are done leave the loop.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ from codeloom.functions.tokens import Tokenizer
 from codeloom.operators.context import MAX_TOKENS, assemble, expand_requested, merge_external
 from codeloom.operators.skew import numbered
 from codeloom.schemas import DOCUMENTATION, NEED, REPORT
-from codeloom.session import cut
+from codeloom.session import cut, shared_folder
 
 # --- fixed values -----------------------------------------------------------
 MAX_REJECTIONS = 2
@@ -225,19 +226,20 @@ def revise_rounds(state: DataFrame, write: Callable[[DataFrame], DataFrame], ver
 def generate_by_level(order: DataFrame, make: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """Generate level by level, so a component sees the documentation of what it depends on.
 
-    ``make(rows, docs)`` gets the rows of one level and all documentation so far
-    (``repo_id, id, docstring``; null for the first level) and returns
-    ``repo_id, id, docstring`` for them.
+    ``make(rows, docs)`` gets the rows of one level and the table of all
+    documentation so far (``repo_id, id, docstring``; empty for the first level)
+    and returns ``repo_id, id, docstring`` for them.  Every level is appended to
+    one table in the shared folder; nothing is made twice.
     """
+    spark = order.sparkSession
+    place = f"{shared_folder(spark)}/docs-{uuid.uuid4().hex}"
+    schema = "repo_id string, id string, docstring string"
     top = order.agg(F.max("level")).first()[0]
-    docs: DataFrame | None = None
+    docs = spark.createDataFrame([], schema)
     for level in range((-1 if top is None else top) + 1):
-        rows = order.where(F.col("level") == level)
-        so_far = rows.select(*KEY, F.lit(None).cast("string").alias("docstring")).limit(0) if docs is None else docs
-        made = cut(make(rows, so_far).select(*KEY, "docstring"))
-        docs = made if docs is None else docs.unionByName(made)
-    if docs is None:
-        raise ValueError("nothing to generate")
+        made = make(order.where(F.col("level") == level), docs).select(*KEY, "docstring")
+        made.write.mode("overwrite").parquet(f"{place}/level={level}")
+        docs = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(place)
     return docs
 
 

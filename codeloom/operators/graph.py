@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.exprs import label, last_seg
-from codeloom.operators.skew import hot_keys, lookup_join, numbered, spread
+from codeloom.operators.skew import BROADCAST_ROWS, hot_keys, lookup_join, numbered, spread
 from codeloom.session import cut
 
 # --- fixed values -----------------------------------------------------------
@@ -86,7 +86,7 @@ def _power_iteration(nodes: DataFrame, edges: DataFrame, damping: float, max_ite
         F.lit(0).alias("iteration"), F.lit(False).alias("done"),
     ).repartition(width, "n"))
 
-    few_repos = sizes.limit(200_001).count() <= 200_000
+    few_repos = sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     history: list[DataFrame] = []
     for step in range(1, max_iter + 1):
         per_repo = state.groupBy("repo_id").agg(
@@ -113,7 +113,7 @@ def _power_iteration(nodes: DataFrame, edges: DataFrame, damping: float, max_ite
             "repo_id", "id", "n", "size", "out", "parts",
             F.when(F.col("settled"), F.col("score")).otherwise(fresh).alias("score"),
             F.col("score").alias("prev"),
-            F.when(F.col("settled"), F.col("iteration")).otherwise(F.lit(step)).alias("iteration"),
+            F.when(F.col("settled"), F.col("iteration")).otherwise(F.col("iteration") + 1).alias("iteration"),
             F.col("settled").alias("done")))
         if keep:
             history.append(state.where(F.col("iteration") == step)
@@ -165,11 +165,11 @@ def _spread_labels(edges: DataFrame, labels: DataFrame, gain: Column, value: str
     means an unchanged table.
     """
     width = _parallelism(edges)
-    hot = cut(hot_keys(edges, ["dir", "a"]))
-    n_hot = hot.count()
-    if n_hot:
+    hot = hot_keys(edges, ["dir", "a"])
+    if hot.take(1):
+        hot = cut(hot)
         edges = cut(spread(edges, ["dir", "a"], ["b"], hot).repartition(width, "dir", "a", "_salt"))
-        few = n_hot <= 200_000
+        few = hot.count() <= BROADCAST_ROWS
 
         def sent(values: DataFrame) -> DataFrame:
             sized = values.join(F.broadcast(hot) if few else hot, ["dir", "a"], "left")

@@ -158,8 +158,7 @@ def trace_origins(c: Corpus) -> DataFrame:
     """Inheritance and decorator edges: every base and decorator name followed to its definition."""
     found = facts(c)
     comps, table = cut(E.extract_components(found)), T.symbol_table(found, files(c))
-    return T.inheritance_edges(E.extract_bases(found), comps, table).unionByName(
-        T.decorator_edges(E.extract_decorators(found), comps, table)).select("src", "dst", "kind")
+    return T.declared_edges(found, comps, table).select("src", "dst", "kind")
 
 
 @query(f"""WITH {_P} SELECT file, name, start_file, symbol FROM (
