@@ -87,12 +87,9 @@ def toc(components: DataFrame) -> DataFrame:
 
 def legacy_returns(doc_json: Column | str, schema: str) -> Column:
     """Parse documentation JSON whose ``returns`` may be one object instead of a list."""
-    j = F.col(doc_json) if isinstance(doc_json, str) else doc_json
-    # a lone object becomes a list of one; anything else is left alone
-    fixed = F.when(
-        F.get_json_object(j, "$.returns").startswith("{"),
-        F.replace(j, F.get_json_object(j, "$.returns"), F.concat(F.lit("["), F.get_json_object(j, "$.returns"), F.lit("]"))))
-    return F.from_json(F.coalesce(fixed, j), schema)
+    doc = F.from_json(doc_json, schema)
+    lone = F.from_json(doc_json, "returns struct<type:string,description:string>")["returns"]
+    return F.when(doc["returns"].isNull() & lone.isNotNull(), doc.withField("returns", F.array(lone))).otherwise(doc)
 
 
 def doc_sections(components: DataFrame, docs: DataFrame, lang: str = "id", mode: str = "table") -> DataFrame:
