@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.exprs import EXCLUDED_FOLDERS, _c, module_path
 from codeloom.operators.skew import lookup_join
+from codeloom.session import cut
 
 
 def _plain(path: str) -> str:
@@ -60,8 +63,12 @@ def scan_sources(spark: SparkSession, root: str, repos: str | None = None, relev
     if relevant:
         raw = raw.where(is_relevant(below))
     text = F.col("content").cast("string")
-    located = raw.select("path", _below(F.col("path"), root).alias("_below"),
-                         F.when(F.is_valid_utf8(text), text).alias("source"))
+    filled = raw.select("path", _below(F.col("path"), root).alias("_below"),
+                        F.when(F.is_valid_utf8(text), text).alias("source"))
+    empty = _empty_files(spark, root)
+    if relevant:
+        empty = empty.where(is_relevant("_below"))
+    located = filled.unionByName(empty)
     if repos is None:
         repo, rel = F.substring_index("_below", "/", 1), F.regexp_replace("_below", r"^[^/]*/", "")
     else:
@@ -70,6 +77,40 @@ def scan_sources(spark: SparkSession, root: str, repos: str | None = None, relev
                           module_path(rel).alias("module_path"), "source")
 
 
+_ENTRY = pa.schema([("path", pa.string()), ("is_folder", pa.bool_())])
+
+
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Subfolders and empty Python files directly in each folder."""
+    for batch in batches:
+        for folder in batch.column("path").to_pylist():
+            uri = re.sub(r"^file:/+", "file:///", re.sub(r"^s3[an]://", "s3://", folder))
+            system, path = fs.FileSystem.from_uri(uri)
+            rows = [dict(path=f"{folder}/{i.base_name}", is_folder=not i.is_file)
+                    for i in system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+                    if not i.is_file or (i.size == 0 and i.extension == "py")]
+            yield pa.RecordBatch.from_pylist(rows, schema=_ENTRY)
+
+
+def _empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """Empty files, which Spark's file sources leave out (an empty ``__init__.py`` still makes a package).
+
+    Folders are listed in parallel tasks, one level of the tree per round.
+    """
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(root)
+    start = place.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    folders, found = spark.createDataFrame([(start,)], "path string"), []
+    while folders.take(1):
+        listed = cut(folders.mapInArrow(_list_folders, "path string, is_folder boolean"))
+        found.append(listed.where("NOT is_folder"))
+        folders = listed.where("is_folder").select("path").repartition(sc.defaultParallelism)
+    empty = found[0]
+    for level in found[1:]:
+        empty = empty.unionByName(level)
+    return empty.select("path", _below(F.col("path"), root).alias("_below"), F.lit("").alias("source"))
+
+
 _MEMBERS = pa.schema([("archive", pa.string()), ("member", pa.string()), ("content", pa.binary())])
 
 
