@@ -154,8 +154,11 @@ def pagerank_history(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, ma
 
 # --- strongly connected components ------------------------------------------
 
-def _spread_labels(edges: DataFrame, labels: DataFrame, gain: Column, value: str) -> DataFrame:
-    """Push ``value`` along ``edges(dir, a, b, ...)`` until nothing changes.
+def _spread_labels(edges: DataFrame, labels: DataFrame, gain: Column, value: str,
+                   lanes: list[str]) -> DataFrame:
+    """Push ``value`` along ``edges(*lanes, a, b, ...)`` until nothing changes.
+
+    ``lanes`` are columns that keep independent searches apart.
 
     The edges are laid out once by start node; a node with very many edges is
     split into parts, and its value is repeated for each of them.
@@ -165,26 +168,26 @@ def _spread_labels(edges: DataFrame, labels: DataFrame, gain: Column, value: str
     means an unchanged table.
     """
     width = _parallelism(edges)
-    hot = hot_keys(edges, ["dir", "a"])
+    hot = hot_keys(edges, [*lanes, "a"])
     if hot.take(1):
         hot = cut(hot)
-        edges = cut(spread(edges, ["dir", "a"], ["b"], hot).repartition(width, "dir", "a", "_salt"))
+        edges = cut(spread(edges, [*lanes, "a"], ["b"], hot).repartition(width, *lanes, "a", "_salt"))
         few = hot.count() <= BROADCAST_ROWS
 
         def sent(values: DataFrame) -> DataFrame:
-            sized = values.join(F.broadcast(hot) if few else hot, ["dir", "a"], "left")
+            sized = values.join(F.broadcast(hot) if few else hot, [*lanes, "a"], "left")
             return sized.withColumn("_salt", F.explode(F.sequence(
                 F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-        key = ["dir", "a", "_salt"]
+        key = [*lanes, "a", "_salt"]
     else:
-        edges = cut(edges.repartition(width, "dir", "a"))
-        sent, key = (lambda values: values), ["dir", "a"]
+        edges = cut(edges.repartition(width, *lanes, "a"))
+        sent, key = (lambda values: values), [*lanes, "a"]
     total = labels.agg(F.sum(F.col(value).cast("decimal(38,0)"))).first()[0]
     while True:
         for _ in range(STEPS_PER_CUT):
             labels = (
                 edges.join(sent(labels), key)
-                .groupBy("dir", "b").agg(F.max(gain).alias(value))
+                .groupBy(*lanes, "b").agg(F.max(gain).alias(value))
                 .withColumnRenamed("b", "a")
             )
         labels = cut(labels)
@@ -230,7 +233,7 @@ def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         loops = ends.select(both, "a", F.col("a").alias("b"))
         ways = pairs.select(F.lit(0).alias("dir"), "a", "b").unionByName(
             pairs.select(F.lit(1).alias("dir"), F.col("b").alias("a"), F.col("a").alias("b")))
-        labels = _spread_labels(ways.unionByName(loops), ends.select(both, "a", F.col("a").alias("top")), F.col("top"), "top")
+        labels = _spread_labels(ways.unionByName(loops), ends.select(both, "a", F.col("a").alias("top")), F.col("top"), "top", ["dir"])
         pair = cut(labels.groupBy("a").agg(
             F.max(F.when(F.col("dir") == 0, F.col("top"))).alias("_f"),
             F.max(F.when(F.col("dir") == 1, F.col("top"))).alias("_b")))
@@ -265,10 +268,10 @@ def levels(nodes: DataFrame, edges: DataFrame, components: DataFrame | None = No
     groups = members.select("repo_id", F.col("scc_id").alias("id")).distinct()
     numbers, pairs = _encode(groups, contracted.select(
         "repo_id", F.col("dst_scc").alias("source"), F.col("src_scc").alias("target")))
-    steps = pairs.select(F.lit(0).alias("dir"), "a", "b", F.lit(1).alias("w")).unionByName(
-        numbers.select(F.lit(0).alias("dir"), F.col("n").alias("a"), F.col("n").alias("b"), F.lit(0).alias("w")))
-    start = numbers.select(F.lit(0).alias("dir"), F.col("n").alias("a"), F.lit(0).alias("level"))
-    depth = _spread_labels(steps, start, F.col("level") + F.col("w"), "level")
+    steps = pairs.select("a", "b", F.lit(1).alias("w")).unionByName(
+        numbers.select(F.col("n").alias("a"), F.col("n").alias("b"), F.lit(0).alias("w")))
+    start = numbers.select(F.col("n").alias("a"), F.lit(0).alias("level"))
+    depth = _spread_labels(steps, start, F.col("level") + F.col("w"), "level", [])
     leveled = numbers.join(depth.select(F.col("a").alias("n"), "level"), "n").select(
         "repo_id", F.col("id").alias("scc_id"), F.col("level").cast("long"))
     return members.join(leveled, ["repo_id", "scc_id"]).select("repo_id", "id", "scc_id", "level")
