@@ -53,7 +53,21 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_INFER = "spark.sql.constraintPropagation.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, keep it in the shared folder, forget its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once, keep it in the shared folder, forget its lineage.
+
+    A checkpointed table also remembers the predicates Spark inferred for it.
+    In a loop these pile up from round to round until planning takes longer
+    than running, so the table is made without them.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    former = spark.conf.get(_INFER)
+    spark.conf.set(_INFER, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(_INFER, former)
