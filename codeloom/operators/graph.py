@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.exprs import label, last_seg
 from codeloom.operators.skew import BROADCAST_ROWS, hot_keys, lookup_join, numbered, spread
-from codeloom.session import cut
+from codeloom.session import cut, lay_out
 
 # --- fixed values -----------------------------------------------------------
 NODE_COLOURS = {"class": "#a3c4f3", "method": "#fde4a3", "function": "#b3e6c3"}
@@ -75,7 +75,7 @@ def _power_iteration(nodes: DataFrame, edges: DataFrame, damping: float, max_ite
     out = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("out")).withColumnRenamed("a", "n")
     hot = hot_keys(pairs, ["a"])
     width = _parallelism(nodes)
-    placed = cut(spread(pairs, ["a"], ["b"], hot).repartition(width, "a", "_salt"))
+    placed = lay_out(spread(pairs, ["a"], ["b"], hot), width, "a", "_salt")
     sizes = numbers.groupBy("repo_id").agg(F.count(F.lit(1)).alias("size"))
     parts = hot.withColumnRenamed("a", "n")
     base = lookup_join(lookup_join(numbers.join(out, "n", "left"), parts, ["n"], "left"), sizes, ["repo_id"])
@@ -83,8 +83,7 @@ def _power_iteration(nodes: DataFrame, edges: DataFrame, damping: float, max_ite
         "repo_id", "id", "n", "size", F.coalesce("out", F.lit(0)).alias("out"),
         F.coalesce("_parts", F.lit(1)).alias("parts"),
         (F.lit(1.0) / F.col("size")).alias("score"), F.lit(None).cast("double").alias("prev"),
-        F.lit(0).alias("iteration"), F.lit(False).alias("done"),
-    ).repartition(width, "n"))
+        F.lit(0).alias("iteration"), F.lit(False).alias("done")))
 
     few_repos = sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     history: list[DataFrame] = []
@@ -171,7 +170,7 @@ def _spread_labels(edges: DataFrame, labels: DataFrame, gain: Column, value: str
     hot = hot_keys(edges, [*lanes, "a"])
     if hot.take(1):
         hot = cut(hot)
-        edges = cut(spread(edges, [*lanes, "a"], ["b"], hot).repartition(width, *lanes, "a", "_salt"))
+        edges = lay_out(spread(edges, [*lanes, "a"], ["b"], hot), width, *lanes, "a", "_salt")
         few = hot.count() <= BROADCAST_ROWS
 
         def sent(values: DataFrame) -> DataFrame:
@@ -180,7 +179,7 @@ def _spread_labels(edges: DataFrame, labels: DataFrame, gain: Column, value: str
                 F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
         key = [*lanes, "a", "_salt"]
     else:
-        edges = cut(edges.repartition(width, *lanes, "a"))
+        edges = lay_out(edges, width, *lanes, "a")
         sent, key = (lambda values: values), [*lanes, "a"]
     total = labels.agg(F.sum(F.col(value).cast("decimal(38,0)"))).first()[0]
     while True:

@@ -1,7 +1,7 @@
 """Session settings and lineage cuts.
 
 Iterative operators (ranking, components, tracing, generation rounds) cut
-their lineage with reliable checkpoints, so a lost executor costs one round
+their lineage with tables and checkpoints, so a lost executor costs one round
 and not the whole loop.  The folder is the one the cluster names in
 ``spark.checkpoint.dir``.
 """
@@ -9,6 +9,7 @@ and not the whole loop.  The folder is the one the cluster names in
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,21 +54,20 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-_INFER = "spark.sql.constraintPropagation.enabled"
-
-
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once, keep it in the shared folder, forget its lineage.
+    """Compute ``df`` once into a table of the shared folder and go on from that table.
 
-    A checkpointed table also remembers the predicates Spark inferred for it.
-    In a loop these pile up from round to round until planning takes longer
-    than running, so the table is made without them.
+    The table has no lineage and its true size.  (A checkpointed table keeps the
+    size *estimate* of its plan; in a loop of joins these multiply from round to
+    round until planning takes longer than running and nothing is ever small.)
     """
     spark = df.sparkSession
-    shared_folder(spark)
-    former = spark.conf.get(_INFER)
-    spark.conf.set(_INFER, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(_INFER, former)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def lay_out(df: DataFrame, width: int, *cols: str) -> DataFrame:
+    """Partition a table once by ``cols`` and checkpoint it; later joins on them do not move it again."""
+    shared_folder(df.sparkSession)
+    return df.repartition(width, *cols).checkpoint(eager=True)
