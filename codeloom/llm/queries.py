@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from codeloom.llm import divergence, langid, toxicity
+from codeloom.llm import chat, divergence, langid, mixing, toxicity, urlrules
 
 QUERIES = {
     "op3_language_id": langid.op3,
+    "op4_chat_formatting": chat.op4,
+    "op5_source_mixing": mixing.op5,
+    "op7_url_rules": urlrules.op7,
     "op8_toxicity": toxicity.op8,
     "op10_quality_divergence": divergence.op10,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_chat_formatting": chat.ORACLE,
+}
