@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.llm import chat, divergence, langid, mixing, toxicity, urlrules
+from codeloom.llm import chat, divergence, langid, licenses, mixing, toxicity, urlrules
 
 QUERIES = {
     "op3_language_id": langid.op3,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_source_mixing": mixing.op5,
     "op7_url_rules": urlrules.op7,
     "op8_toxicity": toxicity.op8,
+    "op9_license_scan": licenses.op9,
     "op10_quality_divergence": divergence.op10,
 }
 ORACLES: dict[str, str] = {
