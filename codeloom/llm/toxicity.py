@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import column, cut, remainder, slim, texts_of, text_key
 
-#: Labelled texts of either class that are learned from, on average (a bounded sample by the hash of the text).
-TRAIN_DOCS = 20_000
+#: Labelled texts of either class that are learned from, on average (a bounded sample by the hash of the id).
+TRAIN_DOCS = 10_000
 STEM = (4, 5, 6, 7, 8)
 SUPPORT = 0.015
 LEAST_DOCS = 3
@@ -119,24 +119,24 @@ def learn(docs: DataFrame, labels: DataFrame, where: Column, train_docs: int = T
     share of ``SUPPORT`` of the toxic texts, so their number is bounded by the words of 1 / SUPPORT texts.
     """
     marked = (
-        labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1)).distinct()
-        .join(slim(docs, "doc_id", "text").where(where), "doc_id")
-        .select("text", "toxic")
-    )
+        labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(where & F.col("toxic").isin(0, 1))
+        .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    found = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    if not found.get(1):
+        return {}, []
+    million = 1_000_000
+    share = {t: min(million, -(-train_docs * million // n)) for t, n in found.items()}
+    taken = F.pmod(F.xxhash64("doc_id"), F.lit(million)) < F.when(F.col("toxic") == 1, F.lit(share[1])).otherwise(F.lit(share.get(0, 0)))
+    # about 2 * train_docs ids: a bounded broadcast, so that no text is shuffled to meet its label
+    texts = slim(docs, "doc_id", "text").join(F.broadcast(marked.where(taken)), "doc_id").select("text", "toxic")
     # near copies often share their smallest hash of three words: one text stands for them, so that no word counts as often as it is copied
     words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")
     triples = F.arrays_zip(words.alias("a"), F.slice(words, 2, F.size(words)).alias("b"), F.slice(words, 3, F.size(words)).alias("c"))
-    marked = marked.withColumn("key", F.array_min(F.transform(triples, lambda t: F.xxhash64(t))))
-    keys = marked.groupBy("key", "toxic").agg(F.min(text_key()).alias("first"))
-    sizes = {r["toxic"]: r["n"] for r in keys.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    if not sizes.get(1):
-        return {}, []
-    million = 1_000_000
-    share = {t: min(million, -(-train_docs * million // n)) for t, n in sizes.items()}
-    taken = F.pmod(F.xxhash64("key"), F.lit(million)) < F.when(F.col("toxic") == 1, F.lit(share[1])).otherwise(F.lit(share.get(0, 0)))
-    chosen = keys.where(taken).select("first", "toxic")
-    sample = marked.withColumn("first", text_key()).join(chosen, ["first", "toxic"]).dropDuplicates(["first", "toxic"]).select("text", "toxic")
-    n1, n0 = sizes[1] * share[1] / million, max(1.0, sizes.get(0, 0) * share.get(0, 0) / million)
+    texts = cut(texts.withColumn("key", F.array_min(F.transform(triples, lambda t: F.xxhash64(t)))).withColumn("first", text_key()))
+    chosen = cut(texts.groupBy("key", "toxic").agg(F.min("first").alias("first")))
+    sizes = {r["toxic"]: r["n"] for r in chosen.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sample = texts.join(chosen.select("first", "toxic"), ["first", "toxic"]).dropDuplicates(["first", "toxic"]).select("text", "toxic")
+    n1, n0 = sizes.get(1, 0), max(1, sizes.get(0, 0))
     weight = F.log((F.col("pos") + 0.5) / (n1 + 1)) - F.log((F.col("neg") + 0.5) / (n0 + 1))
     table = (
         sample.mapInArrow(_counts, "entry string, toxic int, n long")
