@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from codeloom.llm import chat, divergence, langid, licenses, mixing, toxicity, urlrules
+from codeloom.llm import chat, divergence, langid, licenses, mixing, neardup, toxicity, urlrules
 
 QUERIES = {
     "op3_language_id": langid.op3,
     "op4_chat_formatting": chat.op4,
     "op5_source_mixing": mixing.op5,
+    "op6_near_duplicates": neardup.op6,
     "op7_url_rules": urlrules.op7,
     "op8_toxicity": toxicity.op8,
     "op9_license_scan": licenses.op9,
