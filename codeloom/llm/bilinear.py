@@ -22,7 +22,9 @@ END, START = OWN + OTHER, OWN + OTHER + 1
 CLASSES = OWN + OTHER + 1
 #: Letters at the end of a word, in bytes, that choose the class of a word that is none of its own.
 SUFFIX = 3
-BATCH, NOISE, RATE = 4096, 64, 0.15
+BATCH, NOISE, RATE = 2048, 64, 0.1
+#: Where Adagrad's sums start: later rounds go on in small steps from the averaged parameters.
+DAMPING = 1.0
 TINY = 1e-9
 
 
@@ -98,8 +100,8 @@ def initial(counts: np.ndarray, seed: int = 7) -> Model:
 
 
 def _sum_rows(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by index."""
-    order = np.argsort(index, kind="stable")
+    """Sums of rows by index, which are small numbers."""
+    order = np.argsort(index.astype(np.int16), kind="stable")
     i = index[order]
     first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
     out = np.zeros((n, rows.shape[1]), np.float32)
@@ -116,7 +118,7 @@ class Trainer:
         self.cumulated = np.cumsum(self.noise)
         self.log_kn = np.log(NOISE * self.noise).astype(np.float32)
         self.g = np.random.default_rng(seed)
-        self.seen = [np.full(a.shape, 1e-3, np.float32) for a in self.m.arrays()]
+        self.seen = [np.full(a.shape, DAMPING, np.float32) for a in self.m.arrays()]
         self.tokens = 0
 
     def step(self, one: np.ndarray, two: np.ndarray, w: np.ndarray) -> None:
@@ -124,11 +126,15 @@ class Trainer:
         p1, p2 = m.r @ m.c1, m.r @ m.c2
         h = p1[one] + p2[two]
         s = np.minimum(np.searchsorted(self.cumulated, self.g.random(NOISE)), CLASSES - 1)
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
         true = np.einsum("ij,ij->i", h, m.q[w]) + m.b[w] - self.log_kn[w]
-        false = h @ m.q[s].T + (m.b[s] - self.log_kn[s])
-        up = (1 - sigmoid(true)).astype(np.float32) / n
-        down = -sigmoid(false).astype(np.float32) / n
+        up = 1 / ((1 + np.exp(np.minimum(true, 60))) * n)
+        # in place: this is the largest array
+        down = h @ m.q[s].T
+        down += m.b[s] - self.log_kn[s]
+        np.minimum(np.negative(down, out=down), 60, out=down)
+        np.exp(down, out=down)
+        down += 1
+        np.divide(np.float32(-1 / n), down, out=down)
         dh = up[:, None] * m.q[w] + down @ m.q[s]
         dq = _sum_rows(w, up[:, None] * h, CLASSES)
         np.add.at(dq, s, down.T @ h)
@@ -138,8 +144,10 @@ class Trainer:
         gradients = (d1 @ m.c1.T + d2 @ m.c2.T, m.r.T @ d1, m.r.T @ d2, dq, db)
         for a, d, seen in zip(m.arrays(), gradients, self.seen, strict=True):
             d *= 100  # a batch's mean gradient is small beside what Adagrad starts from
-            seen += d * d
-            a += RATE * d / np.sqrt(seen)
+            seen += np.square(d)
+            d /= np.sqrt(seen)
+            d *= RATE
+            a += d
         self.tokens += n
 
 
