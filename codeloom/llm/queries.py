@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from codeloom.llm import chat, decontaminate, divergence, langid, licenses, mixing, neardup, toxicity, urlrules
+from codeloom.llm import chat, decontaminate, divergence, langid, licenses, lm, mixing, neardup, toxicity, urlrules
 
 QUERIES = {
+    "op1_lm_scoring": lm.op1,
     "op2_decontamination": decontaminate.op2,
     "op3_language_id": langid.op3,
     "op4_chat_formatting": chat.op4,
