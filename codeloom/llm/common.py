@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codeloom.session import cut, shared_folder
 
-__all__ = ["cut", "shared_folder", "remainder", "texts_of", "column", "SPACE", "text_key"]
+__all__ = ["cut", "shared_folder", "remainder", "texts_of", "column", "SPACE", "text_key", "slim", "spare", "named"]
 
 #: Characters between words, as in the class [^\x20\x09-\x0D] of a word.
 SPACE = " \t\n\x0b\x0c\r"
@@ -40,4 +40,17 @@ def texts_of(batch: pa.RecordBatch, name: str = "text", size: int = 1000) -> Ite
 
 def slim(df: DataFrame, *cols: str) -> DataFrame:
     """Only the columns an operator works on, so that further columns never clash with its own."""
-    return df.select(*[F.col(f"`{c}`") for c in cols])
+    return df.select(*cols)
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def named(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]

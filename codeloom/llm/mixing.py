@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import cut, slim, text_key
+from codeloom.llm.common import cut, named, slim, spare, text_key
 from codeloom.operators.skew import numbered
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -119,15 +119,14 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with ``copies``.  Rows equal in doc_id, source and text come once, with their copies summed up."""
-    keyed = docs.withColumn("_key", text_key())
-    on = ["doc_id", "source", "_key"]
-    taken = plan(keyed, weights, most, carry=("_key",)).where("copies > 0").groupBy(*on).agg(F.sum("copies").cast("int").alias("_copies"))
-    right = taken.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(on)], "_copies")
-    cond = [keyed[c].eqNullSafe(right[f"_r{i}"]) for i, c in enumerate(on)]
-    name = "copies" if "copies" not in docs.columns else "copies_taken"
-    joined = keyed.join(right, cond).select(*[keyed[f"`{c}`"] for c in docs.columns], F.col("_key"), F.col("_copies").alias(name))
-    return joined.dropDuplicates(["doc_id", "source", "_key"]).drop("_key")
+    """The rows of ``docs`` that the mix takes, with ``copies`` (``copies_`` where they have such a column).  Rows equal in doc_id, source and text come once, with their copies summed up."""
+    own, times, *right = (spare(docs, c) for c in ("text_key", "copies", "taken_id", "taken_source", "taken_key"))
+    keyed = docs.withColumn(own, text_key())
+    on = ["doc_id", "source", own]
+    taken = plan(keyed, weights, most, carry=(own,)).where("copies > 0")
+    taken = taken.groupBy(*on).agg(F.sum("copies").cast("int").alias(times)).select(*[F.col(a).alias(b) for a, b in zip(on, right, strict=True)], times)
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(on, right, strict=True)]
+    return keyed.join(taken, same).dropDuplicates(on).select(*named(docs), times)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

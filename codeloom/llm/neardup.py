@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import omh
-from codeloom.llm.common import cut, slim, text_key, texts_of
+from codeloom.llm.common import cut, named, slim, spare, text_key, texts_of
 
 SIMILAR = 0.8
 SMALL = 32
@@ -135,10 +135,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, one of each class: the one with the smallest doc_id (null last, then by text)."""
     _, texts = classes(docs)
-    kept = texts.where(F.col("key") == F.col("kept_key")).select(F.col("key").alias("_key"), F.col("class_id").alias("_id"))
-    keyed = docs.withColumn("_key", text_key())
-    held = keyed.join(kept.withColumnRenamed("_key", "_kept"), (F.col("_key") == F.col("_kept")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return held.dropDuplicates(["doc_id", "_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, kept_id, kept_key = (spare(docs, c) for c in ("text_key", "kept_id", "kept_key"))
+    kept = texts.where(F.col("key") == F.col("kept_key")).select(F.col("key").alias(kept_key), F.col("class_id").alias(kept_id))
+    held = docs.withColumn(own, text_key()).join(kept, (F.col(own) == F.col(kept_key)) & F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi")
+    return held.dropDuplicates(["doc_id", own]).select(*named(docs))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

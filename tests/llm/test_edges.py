@@ -64,9 +64,9 @@ def test_mixing(odd_docs, no_docs):
     assert all(0 <= r["copies"] <= 3 and r["taken"] == r["copies"] * r["size"] for r in rows)
     assert {r["size"] for r in rows if r["source"] is None} == {0}
     kept = mixing.mix(odd_docs)
-    assert kept.columns == [*odd_docs.columns, "copies_taken"]
+    assert kept.columns == [*odd_docs.columns, "copies_"]
     # equal rows come once, with all their copies
-    assert kept.agg(F.sum("copies_taken")).first()[0] == sum(r["copies"] for r in rows)
+    assert kept.agg(F.sum("copies_")).first()[0] == sum(r["copies"] for r in rows)
     assert mixing.plan(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
 
 
