@@ -20,12 +20,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import cut, slim, text_key
+from codeloom.llm.common import cut, named, slim, spare, text_key
 
 K = 5
 SIMILAR = 0.8
 BLOCKS = 16
 WIDTH = 64 // BLOCKS
+#: Places of shingles in items (some 20 bytes each) up to which they are broadcast.
+BROADCAST_ROWS = 200_000
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -77,22 +79,29 @@ def indexed(benchmark: DataFrame) -> DataFrame:
     return cut(items.select("item_id", F.size("words").alias("size"), "shingles", fingerprint(F.col("words")).alias("print")))
 
 
-def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
+def windows(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Windows of a document in line with a shingle of an item: (doc_id, key, start, size, words)."""
     # distinct places only: how far a shingle lies from its item's start, and how long the item is
     marks = cut(items.select("size", F.posexplode("shingles").alias("at", "shingle")).distinct())
     rows = _hashed(slim(docs, "doc_id", "text").withColumn("key", text_key()))
-    every = rows.select("doc_id", "key", "words", F.posexplode("shingles").alias("place", "shingle"))
-    # ``marks`` is a written table: Spark broadcasts it where its bytes are few, else it shuffles both sides
-    hit = every.join(marks, "shingle")
-    start = F.greatest(F.col("place") - F.col("at"), F.lit(0))
-    return cut(hit.select("doc_id", "key", start.alias("start"), "size", F.slice("words", start + 1, F.col("size")).alias("words")).dropDuplicates(["doc_id", "key", "start", "size"]))
-
-
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    start = F.greatest(F.col("place") - F.col("at"), F.lit(0)).alias("start")
+    place = ["doc_id", "key", "start", "size"]
+    if marks.count() <= broadcast_rows:
+        hit = rows.select("doc_id", "key", "words", F.posexplode("shingles").alias("place", "shingle")).join(F.broadcast(marks), "shingle")
+        laid = hit.select("doc_id", "key", start, "size", "words")
+    else:
+        # shingles travel without their texts; the words of texts with hits are joined afterwards
+        hit = rows.select("doc_id", "key", F.posexplode("shingles").alias("place", "shingle")).join(marks, "shingle")
+        found = hit.select("doc_id", "key", start, "size").distinct()
+        own = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "start", "size")
+        laid = rows.select("doc_id", "key", "words").join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).drop("_id", "_key")
+    return cut(laid.select("doc_id", "key", "start", "size", F.slice("words", F.col("start") + 1, F.col("size")).alias("words")).dropDuplicates(place))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, key, item_id, similarity, start, size): a document and an item with their best window; the first of equal ones."""
     items = indexed(benchmark)
-    laid = windows(docs, items)
+    laid = windows(docs, items, broadcast_rows)
     # equal windows (of copies) are compared once
     content = laid.select("size", "words").distinct()
     n = F.size("words")
@@ -111,9 +120,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no benchmark item was found."""
-    bad = cut(matches(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("key").alias("_bad")).distinct())
-    keyed = docs.withColumn("_key", text_key())
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["_id"]) & (keyed["_key"] == bad["_bad"]), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, bad_id, bad_key = (spare(docs, c) for c in ("text_key", "bad_id", "bad_key"))
+    bad = cut(matches(docs, benchmark).select(F.col("doc_id").alias(bad_id), F.col("key").alias(bad_key)).distinct())
+    kept = docs.withColumn(own, text_key()).join(bad, F.col("doc_id").eqNullSafe(F.col(bad_id)) & (F.col(own) == F.col(bad_key)), "left_anti")
+    return kept.select(*named(docs))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
