@@ -225,8 +225,14 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract_facts(files: DataFrame) -> DataFrame:
-    """``files(repo_id, relative_path, module_path, source)`` -> fact rows."""
-    return files.select("repo_id", "relative_path", "module_path", "source").mapInArrow(_parse, FACT_SCHEMA)
+    """``files(repo_id, relative_path, module_path, source)`` -> fact rows.
+
+    Parsing costs far more than moving a source, and a table of many small files
+    often sits in few partitions: the files are dealt out evenly first.
+    """
+    width = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = files.select("repo_id", "relative_path", "module_path", "source").repartition(width, "repo_id", "relative_path")
+    return dealt.mapInArrow(_parse, FACT_SCHEMA)
 
 
 # --- views of the facts -----------------------------------------------------

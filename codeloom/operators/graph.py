@@ -17,6 +17,12 @@ from codeloom.session import cut, lay_out
 # --- fixed values -----------------------------------------------------------
 NODE_COLOURS = {"class": "#a3c4f3", "method": "#fde4a3", "function": "#b3e6c3"}
 OTHER_COLOUR = "#e0e0e0"
+OPENING = ("digraph {\n\tgraph [nodesep=0.6 rankdir=TB ranksep=1.0 splines=ortho]\n"
+           "\tnode [fontname=Helvetica fontsize=12 shape=box style=\"rounded,filled\"]\n"
+           "\tedge [arrowsize=0.7 color=gray50]")
+OUTSIDE_LINE = '\t"%s" [label="%s" color=gray70 shape=ellipse style=dashed]'
+NODE_LINE = '\t"%s" [label=<%s<BR/><FONT POINT-SIZE="10" COLOR="gray30">%s</FONT>> color="%s" fillcolor="%s" penwidth=%s]'
+ARROW_LINE = '\t"%s" -> "%s" [fontcolor=gray50 fontsize=8 xlabel=%s%s]'
 # ----------------------------------------------------------------------------
 
 STEPS_PER_CUT = 4
@@ -125,15 +131,16 @@ def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, max_iter:
     """Rank accumulated on dependants.
 
     Each repository stops on its own when its scores moved by less than
-    size x tol.  A repository that does not get there in ``max_iter`` steps has
-    no ranks.  ``tol=None`` runs exactly ``max_iter`` steps.
+    size x tol.  One that does not get there in ``max_iter`` steps keeps its
+    last scores with ``converged`` false.  ``tol=None`` runs exactly
+    ``max_iter`` steps.
     """
     state, _ = _power_iteration(nodes, edges, alpha, max_iter, tol, True, False)
-    if tol is not None:
-        moved = state.groupBy("repo_id").agg(
-            (F.sum(F.abs(F.col("score") - F.col("prev"))) < F.max("size") * F.lit(tol)).alias("ok"))
-        state = lookup_join(state, moved.where("ok").select("repo_id"), ["repo_id"])
-    return state.select("repo_id", "id", "score")
+    if tol is None:
+        return state.select("repo_id", "id", "score", F.lit(True).alias("converged"))
+    moved = state.groupBy("repo_id").agg(
+        F.coalesce(F.sum(F.abs(F.col("score") - F.col("prev"))) < F.max("size") * F.lit(tol), F.lit(False)).alias("converged"))
+    return lookup_join(state, moved, ["repo_id"]).select("repo_id", "id", "score", "converged")
 
 
 def pagerank_history(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, max_iter: int = 100,
@@ -332,10 +339,9 @@ def _node_line(id_: Column, type_: Column, fill: Column, focal: Column) -> Colum
     head = F.replace(label(id_, type_), F.lit("\n"), F.lit("<BR/>"))
     return F.when(
         type_.isNull(),
-        F.format_string('\t"%s" [label="%s" color=gray70 shape=ellipse style=dashed]', id_, last_seg(id_)),
+        F.format_string(OUTSIDE_LINE, id_, last_seg(id_)),
     ).otherwise(F.format_string(
-        '\t"%s" [label=<%s<BR/><FONT POINT-SIZE="10" COLOR="gray30">%s</FONT>> color="%s" fillcolor="%s" penwidth=%s]',
-        id_, head, type_, F.when(focal, "#d9534f").otherwise("black"), fill,
+        NODE_LINE, id_, head, type_, F.when(focal, "#d9534f").otherwise("black"), fill,
         F.when(focal, "2.5").otherwise("1.0")))
 
 
@@ -349,11 +355,8 @@ def ego_dot(components: DataFrame, ego: DataFrame, lines_per_part: int = 5000) -
         components.select("repo_id", F.col("id").alias("focal"), F.col("component_type").alias("t"))
         .join(ego.select("repo_id", "focal").distinct(), ["repo_id", "focal"], "left_semi")
     )
-    opening = ("digraph {\n\tgraph [nodesep=0.6 rankdir=TB ranksep=1.0 splines=ortho]\n"
-               "\tnode [fontname=Helvetica fontsize=12 shape=box style=\"rounded,filled\"]\n"
-               "\tedge [arrowsize=0.7 color=gray50]")
     frame = heads.select("repo_id", "focal", F.explode(F.array(
-        F.struct(F.lit(0).alias("sec"), F.lit("").alias("ord"), F.lit(opening).alias("line")),
+        F.struct(F.lit(0).alias("sec"), F.lit("").alias("ord"), F.lit(OPENING).alias("line")),
         F.struct(F.lit(1).alias("sec"), F.lit("").alias("ord"),
                  _node_line(F.col("focal"), F.col("t"), _colour("t"), F.lit(True)).alias("line")),
         F.struct(F.lit(4).alias("sec"), F.lit("").alias("ord"), F.lit("}").alias("line")))).alias("l"))
@@ -363,7 +366,7 @@ def ego_dot(components: DataFrame, ego: DataFrame, lines_per_part: int = 5000) -
     extra = F.when(F.col("label") == "inherits", " arrowhead=empty style=dashed").otherwise("")
     arrows = ego.select("repo_id", "focal", F.struct(
         F.lit(3).alias("sec"), F.concat_ws("\t", "label", "from_id", "to_id").alias("ord"),
-        F.format_string('\t"%s" -> "%s" [fontcolor=gray50 fontsize=8 xlabel=%s%s]', F.col("from_id"), F.col("to_id"),
+        F.format_string(ARROW_LINE, F.col("from_id"), F.col("to_id"),
                         F.col("label"), extra).alias("line")).alias("l"))
     lines = frame.unionByName(others).unionByName(arrows).select("repo_id", "focal", "l.*")
     placed = numbered(lines, ["repo_id", "focal"], [F.col("sec"), F.col("ord")], "at")

@@ -153,14 +153,21 @@ def used_by_lists(edges: DataFrame, size: int = 10_000) -> DataFrame:
 
 
 def with_dependency_lists(components: DataFrame, edges: DataFrame, size: int = 10_000) -> DataFrame:
-    """Component rows with the first part of their ``depends_on`` and ``used_by`` lists (export form)."""
-    up = used_by_lists(edges, size).where("part = 0").drop("part")
+    """Component rows with their ``depends_on`` and ``used_by`` lists (export form).
+
+    A component with more than ``size`` of either comes in several rows (``part``
+    0, 1, ...); together they hold all of them.
+    """
+    key = ["repo_id", "id", "part"]
+    up = used_by_lists(edges, size)
     flipped = edges.select("repo_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    down = used_by_lists(flipped, size).where("part = 0").drop("part").withColumnRenamed("used_by", "depends_on")
+    down = used_by_lists(flipped, size).withColumnRenamed("used_by", "depends_on")
     none = F.array().cast("array<string>")
+    lists = down.join(up, key, "full")
     return (
-        components.join(down, ["repo_id", "id"], "left").join(up, ["repo_id", "id"], "left")
+        components.join(lists, ["repo_id", "id"], "left")
         .withColumns({c: F.coalesce(F.col(c), none) for c in ("depends_on", "used_by")})
+        .withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
     )
 
 
@@ -174,19 +181,27 @@ def name_prefixes(name: Column) -> Column:
 
 
 def expand_wildcards(imports: DataFrame, components: DataFrame) -> DataFrame:
-    """``from m import *``: the public classes and functions of module ``m``."""
-    star = imports.where("is_wildcard").select("repo_id", "file_path", "seq", "module")
+    """``from m import *``: the public classes and functions of module ``m``.
+
+    With ``target_file`` (the file an import leads to, as the symbol table has it)
+    the module is met by its file, so that relative imports count as well;
+    without it by its written name.
+    """
+    by_file = "target_file" in imports.columns
+    star = imports.where("is_wildcard")
     public = (
         components.where(F.col("component_type").isin("class", "function"))
-        .select("repo_id", owner_id("id").alias("module"), last_seg("id").alias("visible_name"))
+        .select("repo_id", F.col("relative_path").alias("target_file"), owner_id("id").alias("module"), last_seg("id").alias("visible_name"))
         .where(~F.col("visible_name").startswith("_"))
         # a package file exports under the package's name
         .withColumn("module", F.regexp_replace("module", r"\.__init__$", ""))
         .distinct()
     )
-    return star.join(public, ["repo_id", "module"]).select(
-        "repo_id", "file_path", "seq", "visible_name",
-        F.concat_ws(".", "module", "visible_name").alias("target"))
+    if by_file:
+        met = star.select("repo_id", "file_path", "seq", "target_file").join(public, ["repo_id", "target_file"])
+    else:
+        met = star.select("repo_id", "file_path", "seq", "module").join(public.drop("target_file").distinct(), ["repo_id", "module"])
+    return met.select("repo_id", "file_path", "seq", "visible_name", F.concat_ws(".", "module", "visible_name").alias("target"))
 
 
 def import_targets(imports: DataFrame) -> DataFrame:

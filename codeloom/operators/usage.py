@@ -23,16 +23,21 @@ def default_prices(spark: SparkSession) -> DataFrame:
         "agent string, model string, input_price double, output_price double")
 
 
-def _known(usage: DataFrame) -> DataFrame:
-    return usage.where(F.col("agent").isin(*AGENTS))
+OTHER = "other"
+
+
+def _named(usage: DataFrame) -> DataFrame:
+    """Agents by their lower-case name; all that are none of the known ones (or null) count as ``other``."""
+    name = F.lower(F.trim("agent"))
+    return usage.withColumn("agent", F.when(name.isin(*AGENTS), name).otherwise(OTHER))
 
 
 def usage_by_agent(usage: DataFrame) -> DataFrame:
-    """Sums per agent; an agent without calls has zeros."""
+    """Sums per agent; a known agent without calls has zeros.  ``other`` is there where such calls are."""
     every = usage.select("repo_id").distinct().select(
         "repo_id", F.explode(F.array(*[F.lit(a) for a in AGENTS])).alias("agent"))
-    sums = _known(usage).groupBy("repo_id", "agent").agg(*[F.sum(c).alias(c) for c in COUNTERS])
-    return every.join(sums, ["repo_id", "agent"], "left").na.fill(0, COUNTERS)
+    sums = _named(usage).groupBy("repo_id", "agent").agg(*[F.sum(c).alias(c) for c in COUNTERS])
+    return every.join(sums, ["repo_id", "agent"], "full").na.fill(0, COUNTERS)
 
 
 def usage_rollup(usage: DataFrame) -> DataFrame:
@@ -43,9 +48,10 @@ def usage_rollup(usage: DataFrame) -> DataFrame:
 
 
 def usage_by_component(usage: DataFrame, components: DataFrame | None = None) -> DataFrame:
-    """One row per component with a ``calls x (tokens)`` cell per agent."""
+    """One row per component with a ``calls x (tokens)`` cell per known agent; the totals count all agents."""
     key = ["repo_id", "component_id"]
-    wide = _known(usage).groupBy(*key).pivot("agent", AGENTS).agg(
+    agents = [*AGENTS, OTHER]
+    wide = _named(usage).groupBy(*key).pivot("agent", agents).agg(
         F.sum("call_count").alias("calls"), F.sum("total_tokens").alias("tokens"))
     if components is not None:
         wide = components.select("repo_id", F.col("id").alias("component_id")).join(wide, key, "left")
@@ -54,8 +60,8 @@ def usage_by_component(usage: DataFrame, components: DataFrame | None = None) ->
         return F.coalesce(F.col(f"{agent}_{what}"), F.lit(0))
 
     def total(what: str) -> Column:
-        out = n(AGENTS[0], what)
-        for a in AGENTS[1:]:
+        out = n(agents[0], what)
+        for a in agents[1:]:
             out = out + n(a, what)
         return out
 
@@ -65,11 +71,11 @@ def usage_by_component(usage: DataFrame, components: DataFrame | None = None) ->
 
 
 def usage_cost(usage: DataFrame, prices: DataFrame, rate: float = EXCHANGE_RATE) -> DataFrame:
-    """Cost per agent by its model's prices, in both currencies, with a ``total`` row."""
-    priced = lookup_join(usage_by_agent(usage), prices, ["agent"])
+    """Cost per agent by its model's prices, in both currencies, with a ``total`` row.  Agents without a price cost 0."""
+    priced = lookup_join(usage_by_agent(usage), prices, ["agent"], "left")
     usd = (F.col("input_tokens") / 1_000_000) * F.col("input_price") + (
         F.col("output_tokens") / 1_000_000) * F.col("output_price")
-    per_agent = priced.withColumn("cost_usd", usd)
+    per_agent = priced.withColumn("cost_usd", F.coalesce(usd, F.lit(0.0)))
     rolled = per_agent.rollup("repo_id", "agent").agg(
         F.max("model").alias("model"), F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"), F.sum("cost_usd").alias("cost_usd"), F.grouping_id().alias("_g"))
@@ -99,7 +105,8 @@ def usage_report(usage: DataFrame, components: DataFrame, prices: DataFrame, rat
     Sections: 1 tokens per agent, 2 cost, 3 averages, 4 one line per component.
     """
     rank = F.coalesce(F.array_position(F.array(*[F.lit(a) for a in AGENTS]), F.col("agent")).cast("int"), F.lit(0))
-    line_no = F.when(rank == 0, len(AGENTS) + 1).otherwise(rank)
+    line_no = F.when(F.col("agent") == OTHER, len(AGENTS)).when(rank == 0, len(AGENTS) + 1).otherwise(rank)
+    behind = F.when(F.col("agent") == OTHER, OTHER).otherwise("")  # the line behind the last known agent's
     none = F.lit("")
 
     def put(df: DataFrame, section: int, no: Column, line: Column, id_: Column = none) -> DataFrame:
@@ -114,11 +121,11 @@ def usage_report(usage: DataFrame, components: DataFrame, prices: DataFrame, rat
                  f"{'TOT CALL':<15} | {'TOT TOK':<15}"),
     }
     tokens = put(usage_rollup(usage), 1, line_no, F.format_string(
-        "| %-12s | %,15d | %,15d | %,15d | %,12d |", F.upper("agent"), "input_tokens", "output_tokens", "total_tokens", "call_count"))
+        "| %-12s | %,15d | %,15d | %,15d | %,12d |", F.upper("agent"), "input_tokens", "output_tokens", "total_tokens", "call_count"), behind)
     name = F.when(F.col("agent") == "total", "GRAND TOTAL COST").otherwise(
-        F.concat(F.initcap("agent"), F.lit(" ("), F.initcap("model"), F.lit(")")))
+        F.concat(F.initcap("agent"), F.lit(" ("), F.coalesce(F.initcap("model"), F.lit("-")), F.lit(")")))
     cost = put(usage_cost(usage, prices, rate), 2, line_no, F.format_string(
-        "| %-22s | $%,17.5f | Rp %,22.2f |", name, "cost_usd", "cost_local"))
+        "| %-22s | $%,17.5f | Rp %,22.2f |", name, "cost_usd", "cost_local"), behind)
     averages = usage_averages(usage, components, prices, rate).select("repo_id", F.posexplode(F.array(
         F.format_string("  Average Total Tokens : %,.2f", "avg_total"),
         F.format_string("  Average Input Tokens : %,.2f", "avg_input"),

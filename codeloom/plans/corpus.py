@@ -78,8 +78,13 @@ WHERE a.id <> b.id""",
 
     "fx_edges": f"SELECT {_STAR}, src, dst, 'calls' AS kind FROM fx_next",
 
-    # the edges that stay inside one module: sparse, with cycles of several sizes
-    "fx_module_edges": f"SELECT {_STAR}, src, dst, 'calls' AS kind FROM fx_next WHERE src_module = dst_module",
+    # the whole graph as one repository, and each nation's own part of it, sparse and with cycles of several sizes, as another
+    "fx_graph": f"""
+SELECT {_STAR}, src, dst, 'calls' AS kind FROM fx_next
+UNION ALL SELECT 'nation' || CAST(src_module AS STRING), src, dst, 'calls' FROM fx_next WHERE src_module = dst_module""",
+
+    "fx_graph_nodes": f"""
+SELECT {_STAR}, id FROM fx_method UNION ALL SELECT 'nation' || CAST(s_nationkey AS STRING), id FROM fx_method""",
 
     "fx_nodes": f"SELECT {_STAR}, id FROM fx_method",
 

@@ -162,9 +162,9 @@ def component_records(c: Corpus) -> DataFrame:
 
 @query("""
 SELECT e.id, CASE WHEN n.id IS NULL THEN '' ELSE 'rec/' || replace(e.id, '.', '_') || '.png' END AS graph_url
-FROM fx_components e LEFT JOIN (SELECT src AS id FROM fx_module_edges UNION SELECT dst FROM fx_module_edges) n ON n.id = e.id""")
+FROM fx_components e LEFT JOIN (SELECT src AS id FROM fx_edges UNION SELECT dst FROM fx_edges) n ON n.id = e.id""")
 def graph_urls(c: Corpus) -> DataFrame:
-    ids = c.module_edges.select("repo_id", F.explode(F.array("src", "dst")).alias("id"))
+    ids = c.edges.select("repo_id", F.explode(F.array("src", "dst")).alias("id"))
     return R.attach_graph_urls(c.components, ids, "rec").select("id", "graph_url")
 
 

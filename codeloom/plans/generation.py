@@ -40,9 +40,9 @@ def ranked_parents(c: Corpus) -> DataFrame:
 
 
 @query("""SELECT m.src AS id, m.dst AS part_id, CASE WHEN length(short_summary) >= 30 THEN 'documentation' ELSE 'source_code' END AS type,
-  CASE WHEN length(short_summary) >= 30 THEN short_summary ELSE 'src of ' || d.id END AS content FROM fx_module_edges m JOIN fx_docs d ON d.id = m.dst""")
+  CASE WHEN length(short_summary) >= 30 THEN short_summary ELSE 'src of ' || d.id END AS content FROM fx_edges m JOIN fx_docs d ON d.id = m.dst""")
 def dep_content(c: Corpus) -> DataFrame:
-    ranked = C.ranked_deps(c.components, c.module_edges, scores(c))
+    ranked = C.ranked_deps(c.components, c.edges, scores(c))
     comps = c.components.withColumn("source_code", F.concat(F.lit("src of "), F.col("id")))
     texts = c.docs.select("repo_id", "id", F.col("short_summary").alias("docstring"))
     return C.part_content(ranked, comps, texts, C.DEPENDENCY_DOC_LENGTH, "dependency").select("id", "part_id", "type", "content")
@@ -297,20 +297,20 @@ def revise_rounds(c: Corpus) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {CLOSURE}
-SELECT m.id, 'level ' || CAST(l.level AS STRING) || ' knows ' || CAST(count(CASE WHEN dl.level < l.level THEN 1 END) AS STRING) AS docstring
-FROM member m JOIN leveled l ON l.g = m.scc_id LEFT JOIN fx_module_edges e ON e.src = m.id
-LEFT JOIN member d ON d.id = e.dst LEFT JOIN leveled dl ON dl.g = d.scc_id GROUP BY m.id, l.level""")
+SELECT m.repo_id, m.id, 'level ' || CAST(l.level AS STRING) || ' knows ' || CAST(count(CASE WHEN dl.level < l.level THEN 1 END) AS STRING) AS docstring
+FROM member m JOIN leveled l ON l.g = m.root LEFT JOIN e ON e.s = m.n
+LEFT JOIN rooted d ON d.n = e.d LEFT JOIN leveled dl ON dl.g = d.root GROUP BY m.repo_id, m.id, l.level""")
 def generate_by_level(c: Corpus) -> DataFrame:
     """Every component writes how many of its dependencies were documented before it."""
-    edges = cut(c.module_edges)
-    order = cut(G.levels(c.nodes, edges))
+    edges = cut(c.graph)
+    order = cut(G.levels(c.graph_nodes, edges))
 
     def make(rows: DataFrame, docs: DataFrame) -> DataFrame:
         known = edges.select("repo_id", F.col("src").alias("id"), F.col("dst").alias("dep")).join(rows.select("repo_id", "id"), ["repo_id", "id"]).join(
             docs.select("repo_id", F.col("id").alias("dep")), ["repo_id", "dep"]).groupBy("repo_id", "id").agg(F.count(F.lit(1)).alias("n"))
         return rows.join(known, ["repo_id", "id"], "left").withColumn("docstring", F.format_string(
             "level %d knows %d", "level", F.coalesce("n", F.lit(0))))
-    return N.generate_by_level(order, make).select("id", "docstring")
+    return N.generate_by_level(order, make).select("repo_id", "id", "docstring")
 
 
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'sum of ' || source WHEN 3 THEN 'fenced' END AS summary, doc_id % 4 = 1 AS need,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from codeloom.operators import graph as G
 from codeloom.operators import resolve as R
 from codeloom.plans.corpus import Corpus
 from codeloom.plans.registry import query
+from codeloom.session import shared_folder
+from codeloom.sources.records import write_order
 
 # --- SQL pieces -------------------------------------------------------------
 
@@ -51,17 +55,31 @@ def rank_sql(links: str, nodes: str, steps: int, damping: str = "0.85") -> str:
     return ",\n".join(parts)
 
 
+def settled_sql(links: str, nodes: str, steps: int, damping: str = "0.85", per_node: bool = True) -> str:
+    """``ranked(step, id, score)`` of steps 1 up to the first that moves the scores by less than 1e-6 (times the nodes)."""
+    bound = "1e-6 * n" if per_node else "1e-6"
+    moved = " UNION ALL ".join(
+        f"SELECT {i} AS step, (SELECT sum(abs(x.score - y.score)) FROM rank{i} x JOIN rank{i - 1} y USING (id)) AS d" for i in range(1, steps + 1))
+    every = " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS step, id, score FROM rank{i}" for i in range(1, steps + 1))
+    return f"""{rank_sql(links, nodes, steps, damping)},
+stop AS MATERIALIZED (SELECT min(step) AS k FROM ({moved}) m, cnt WHERE d < {bound}),
+ranked AS MATERIALIZED (SELECT step, id, score FROM ({every}) r, stop WHERE step <= k)"""
+
+
+# the whole corpus as one repository, and each nation's module once more as a repository of its own
 CLOSURE = """
-closure AS (SELECT src AS a, dst AS b FROM fx_module_edges UNION
-            SELECT c.a, e.dst FROM closure c JOIN fx_module_edges e ON e.src = c.b),
-member AS MATERIALIZED (
-  SELECT n.id, least(n.id, coalesce(min(c.b), n.id)) AS scc_id FROM fx_nodes n
-  LEFT JOIN (SELECT x.a, x.b FROM closure x JOIN closure y ON x.a = y.b AND x.b = y.a) c ON c.a = n.id GROUP BY n.id),
-contracted AS MATERIALIZED (
-  SELECT DISTINCT s.scc_id AS src_scc, d.scc_id AS dst_scc FROM fx_module_edges
-  JOIN member s ON s.id = src JOIN member d ON d.id = dst WHERE s.scc_id <> d.scc_id),
-step AS (SELECT DISTINCT scc_id AS g, CAST(0 AS BIGINT) AS lvl FROM member UNION
-         SELECT k.src_scc, s.lvl + 1 FROM step s JOIN contracted k ON k.dst_scc = s.g),
+k AS MATERIALIZED (SELECT repo_id, id, row_number() OVER (ORDER BY repo_id, id) AS n FROM fx_graph_nodes),
+e AS MATERIALIZED (SELECT s.n AS s, d.n AS d FROM fx_graph g JOIN k s ON s.repo_id = g.repo_id AND s.id = g.src
+                   JOIN k d ON d.repo_id = g.repo_id AND d.id = g.dst),
+closure AS (SELECT s AS a, d AS b FROM e UNION SELECT c.a, e.d FROM closure c JOIN e ON e.s = c.b),
+mutual AS MATERIALIZED (SELECT x.a, min(x.b) AS m FROM closure x JOIN closure y ON x.a = y.b AND x.b = y.a GROUP BY 1),
+rooted AS MATERIALIZED (SELECT k.repo_id, k.id, k.n, least(k.n, coalesce(m, k.n)) AS root FROM k LEFT JOIN mutual ON a = n),
+member AS MATERIALIZED (SELECT r.repo_id, r.id, r.n, r.root, o.id AS scc_id FROM rooted r JOIN k o ON o.n = r.root),
+between AS MATERIALIZED (SELECT DISTINCT x.root AS src_root, y.root AS dst_root FROM e JOIN rooted x ON x.n = s JOIN rooted y ON y.n = d
+                         WHERE x.root <> y.root),
+contracted AS (SELECT x.repo_id, x.id AS src_scc, y.id AS dst_scc FROM between JOIN k x ON x.n = src_root JOIN k y ON y.n = dst_root),
+step AS (SELECT DISTINCT root AS g, CAST(0 AS BIGINT) AS lvl FROM rooted UNION
+         SELECT src_root, s.lvl + 1 FROM step s JOIN between ON dst_root = s.g),
 leveled AS (SELECT g, max(lvl) AS level FROM step GROUP BY 1)"""
 
 
@@ -128,6 +146,28 @@ def used_by(c: Corpus) -> DataFrame:
     return R.used_by_lists(_edges(c), 50).select("id", "part", F.array_join("used_by", ",").alias("users"))
 
 
+@query(f"""WITH {ALL_EDGES},
+up AS (SELECT dst AS id, src AS o, CAST((row_number() OVER (PARTITION BY dst ORDER BY src) - 1) // 20 AS BIGINT) AS part FROM edge),
+down AS (SELECT src AS id, dst AS o, CAST((row_number() OVER (PARTITION BY src ORDER BY dst) - 1) // 20 AS BIGINT) AS part FROM edge),
+place AS (SELECT id, part FROM up UNION SELECT id, part FROM down UNION SELECT id, CAST(0 AS BIGINT) FROM fx_components)
+SELECT p.id, p.part, coalesce((SELECT string_agg(o, ',' ORDER BY o) FROM down d WHERE d.id = p.id AND d.part = p.part), '') AS depends_on,
+  coalesce((SELECT string_agg(o, ',' ORDER BY o) FROM up u WHERE u.id = p.id AND u.part = p.part), '') AS used_by
+FROM place p JOIN fx_components k ON k.id = p.id""")
+def dependency_lists(c: Corpus) -> DataFrame:
+    """The export form, every list in parts of 20."""
+    rows = R.with_dependency_lists(c.components, _edges(c), 20)
+    return rows.select("id", "part", F.array_join("depends_on", ",").alias("depends_on"), F.array_join("used_by", ",").alias("used_by"))
+
+
+# the written queue and its edges, read back
+@query("""SELECT repo_id, dst AS source, src AS target, 'edge' AS what FROM fx_graph UNION ALL SELECT repo_id, id, NULL, 'node' FROM fx_graph_nodes""")
+def order_files(c: Corpus) -> DataFrame:
+    path = f"{shared_folder(c.spark)}/order-{uuid.uuid4().hex}"
+    write_order(G.processing_order(c.graph_nodes, c.graph), c.graph, path)
+    queue = c.spark.read.parquet(f"{path}/processing_queue").select("repo_id", F.col("id").alias("source"), F.lit(None).cast("string").alias("target"), F.lit("node").alias("what"))
+    return c.spark.read.parquet(f"{path}/dependencies").select("repo_id", "source", "target", F.lit("edge").alias("what")).unionByName(queue)
+
+
 @query("""
 SELECT src, dst, CAST(CASE WHEN s[1] = d[1] AND s[2] = d[2] THEN 0
   WHEN s[1] = d[1] OR s[2] = d[2] OR s[1] = d[2] THEN 1 WHEN s[2] = d[1] THEN 1 ELSE 2 END AS BIGINT) AS missed
@@ -149,33 +189,44 @@ def degrees(c: Corpus) -> DataFrame:
 LINKS, NODES = "SELECT dst AS source, src AS target FROM fx_edges", "SELECT id FROM fx_nodes"
 
 
-@query(f"WITH {rank_sql(LINKS, NODES, 20)} SELECT id, round(score, 7) AS score FROM rank20")
+@query(f"WITH {settled_sql(LINKS, NODES, 24)} SELECT id, round(score, 10) AS score FROM ranked, stop WHERE step = k")
 def pagerank(c: Corpus) -> DataFrame:
-    return G.pagerank(c.nodes, c.edges, max_iter=20, tol=None).select("id", F.round("score", 7).alias("score"))
+    return G.pagerank(c.nodes, c.edges).where("converged").select("id", F.round("score", 10).alias("score"))
 
 
-@query(f"WITH {rank_sql(LINKS, NODES, 8, '0.7225')} " + " UNION ALL ".join(
-    f"SELECT id, CAST({i} AS BIGINT) AS iteration, round(score, 7) AS score FROM rank{i}" for i in range(1, 9)))
+@query(f"WITH {settled_sql(LINKS, NODES, 24, '0.7225', False)} SELECT id, step AS iteration, round(score, 10) AS score FROM ranked")
 def pagerank_history(c: Corpus) -> DataFrame:
-    return G.pagerank_history(c.nodes, c.edges, max_iter=8, tol=None).select(
-        "id", "iteration", F.round("score", 7).alias("score"))
+    return G.pagerank_history(c.nodes, c.edges).select("id", "iteration", F.round("score", 10).alias("score"))
 
 
-@query(f"WITH RECURSIVE {CLOSURE} SELECT id, scc_id FROM member")
+@query(f"WITH RECURSIVE {CLOSURE} SELECT repo_id, id, scc_id FROM member")
 def scc(c: Corpus) -> DataFrame:
-    return G.scc(c.nodes, c.module_edges).select("id", "scc_id")
+    return G.scc(c.graph_nodes, c.graph).select("repo_id", "id", "scc_id")
 
 
-@query(f"WITH RECURSIVE {CLOSURE} SELECT src_scc, dst_scc FROM contracted")
+@query(f"WITH RECURSIVE {CLOSURE} SELECT repo_id, src_scc, dst_scc FROM contracted")
 def condense(c: Corpus) -> DataFrame:
-    edges = c.module_edges
-    return G.condense(G.scc(c.nodes, edges), edges).select("src_scc", "dst_scc")
+    edges = c.graph
+    return G.condense(G.scc(c.graph_nodes, edges), edges).select("repo_id", "src_scc", "dst_scc")
 
 
 @query(f"""WITH RECURSIVE {CLOSURE}
-SELECT id, scc_id, level, row_number() OVER (ORDER BY level, scc_id, id) AS pos FROM member JOIN leveled ON g = scc_id""")
+SELECT repo_id, id, scc_id, level, row_number() OVER (PARTITION BY repo_id ORDER BY level, scc_id, id) AS pos
+FROM member JOIN leveled ON g = root""")
 def processing_order(c: Corpus) -> DataFrame:
-    return G.processing_order(c.nodes, c.module_edges).select("id", "scc_id", "level", "pos")
+    return G.processing_order(c.graph_nodes, c.graph).select("repo_id", "id", "scc_id", "level", "pos")
+
+
+_OPENING = "'" + G.OPENING.replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
+_OUTSIDE = """chr(9) || '"' || other || '" [label="' || regexp_extract(other, '[^.]*$') || '" color=gray70 shape=ellipse style=dashed]'"""
+
+
+def _node_sql(id_: str, type_: str, colour: str, width: str) -> str:
+    """A node's line; a method's label is the last two names."""
+    fill = f"CASE {type_} WHEN 'class' THEN '#a3c4f3' WHEN 'method' THEN '#fde4a3' WHEN 'function' THEN '#b3e6c3' END"
+    label = f"CASE WHEN {type_} = 'method' THEN regexp_extract({id_}, '([^.]*)[.][^.]*$', 1) || '.<BR/>' || regexp_extract({id_}, '[^.]*$') ELSE regexp_extract({id_}, '[^.]*$') END"
+    return (f"""chr(9) || '"' || {id_} || '" [label=<' || {label} || '<BR/><FONT POINT-SIZE="10" COLOR="gray30">' || {type_} || '</FONT>> color="' || """
+            f"""{colour} || '" fillcolor="' || {fill} || '" penwidth=' || {width} || ']'""")
 
 
 EGO = """
@@ -195,22 +246,33 @@ def ego_edges(c: Corpus) -> DataFrame:
 
 
 @query("""
-WITH touched AS (SELECT src AS id FROM fx_module_edges UNION SELECT dst FROM fx_module_edges UNION SELECT id FROM fx_parents)
+WITH touched AS (SELECT src AS id FROM fx_edges UNION SELECT dst FROM fx_edges UNION SELECT id FROM fx_parents)
 SELECT repo_id, count(t.id) AS produced, count(*) - count(t.id) AS skipped FROM fx_components LEFT JOIN touched t USING (id) GROUP BY 1""")
 def ego_counts(c: Corpus) -> DataFrame:
-    return G.ego_counts(c.components, G.ego_edges(c.components, c.module_edges, c.parents))
-
-
-@query()
+    return G.ego_counts(c.components, G.ego_edges(c.components, c.edges, c.parents))
+
+
+# one text for each neighbourhood, cut into the parts that the operator makes
+@query(f"""WITH {EGO},
+seen AS (SELECT e.*, o.component_type AS t FROM ego e JOIN fx_components f ON f.id = focal LEFT JOIN fx_components o ON o.id = other),
+lines AS (
+  SELECT DISTINCT focal, 0 AS sec, '' AS ord, {_OPENING} AS line FROM seen
+  UNION ALL SELECT DISTINCT focal, 1, '', {_node_sql('focal', 'f.component_type', "'#d9534f'", "'2.5'")} FROM seen JOIN fx_components f ON f.id = focal
+  UNION ALL SELECT DISTINCT focal, 2, other, CASE WHEN t IS NULL THEN {_OUTSIDE} ELSE {_node_sql('other', 't', "'black'", "'1.0'")} END FROM seen WHERE other <> focal
+  UNION ALL SELECT focal, 3, label || chr(9) || from_id || chr(9) || to_id, chr(9) || '"' || from_id || '" -> "' || to_id || '" [fontcolor=gray50 fontsize=8 xlabel='
+    || label || CASE WHEN label = 'inherits' THEN ' arrowhead=empty style=dashed' ELSE '' END || ']' FROM seen
+  UNION ALL SELECT DISTINCT focal, 4, '', '}}' FROM seen),
+placed AS (SELECT *, row_number() OVER (PARTITION BY focal ORDER BY sec, ord) AS place FROM lines)
+SELECT focal, CAST((place - 1) // 5000 AS BIGINT) AS part, string_agg(line, chr(10) ORDER BY place) AS dot FROM placed GROUP BY 1, 2""")
 def ego_dot(c: Corpus) -> DataFrame:
-    return G.ego_dot(c.components, G.ego_edges(c.components, c.module_edges, c.parents))
+    return G.ego_dot(c.components, G.ego_edges(c.components, c.edges, c.parents)).select("focal", "part", "dot")
 
 
 # --- flagship ---------------------------------------------------------------
 
 RANKED = f"""{ALL_EDGES},
-{rank_sql("SELECT dst AS source, src AS target FROM edge", "SELECT id FROM fx_components", 10)},
-score AS (SELECT id, round(score, 10) AS score FROM rank10)"""
+{settled_sql("SELECT dst AS source, src AS target FROM edge", "SELECT id FROM fx_components", 32)},
+score AS (SELECT id, round(score, 10) AS score FROM ranked, stop WHERE step = k)"""
 
 
 @query(f"""WITH {RANKED},
@@ -221,7 +283,7 @@ SELECT r.id, dep_id, pos, coalesce(o.c, 0) AS n_depends_on, coalesce(i.c, 0) AS
 FROM r LEFT JOIN o ON o.id = r.id LEFT JOIN i ON i.id = r.id WHERE pos <= 3""")
 def top_dependencies(c: Corpus) -> DataFrame:
     components, edges = c.components, _shared(_edges(c))
-    ranks = G.pagerank(components, edges, max_iter=10, tol=None).withColumn("score", F.round("score", 10))
+    ranks = G.pagerank(components, edges).where("converged").withColumn("score", F.round("score", 10))
     return C.top_dependencies(components, edges, ranks, 3).select("id", "dep_id", "pos", "n_depends_on", "n_used_by")
 
 

@@ -9,6 +9,7 @@ from codeloom.functions.exprs import module_path
 from codeloom.operators import extract as E
 from codeloom.operators import resolve as R
 from codeloom.operators import trace as T
+from codeloom.operators.helpfulness import has_parameters
 from codeloom.plans.corpus import Corpus
 from codeloom.plans.registry import query
 from codeloom.session import cut
@@ -132,12 +133,42 @@ def extract_refs(c: Corpus) -> DataFrame:
   UNION ALL SELECT mod || '.Base', v, mod || '.' || v FROM b, (SELECT unnest(['Root', 'kind']) AS v) t
   UNION ALL SELECT mod || '.helper', 'x', mod || '.x' FROM b) q""")
 def qualify_refs(c: Corpus) -> DataFrame:
-    """The wildcard names its module relative to the package, so it exports nothing here."""
+    """Imports as written: a relative wildcard has no module name, ``wildcard_names`` meets it by file."""
     found = facts(c)
     refs = E.extract_refs(found).withColumn("module_path", module_path("file_path"))
     return R.qualify_refs(refs, E.extract_imports(found), E.extract_components(found)).select("component_id", "name", "qualified_name")
 
 
+@query(f"""WITH {_P} SELECT file AS file_path, v AS visible_name, m || '.base.' || v AS target
+FROM p, (SELECT unnest(['Base', 'Root', 'helper', 'registered']) AS v) t""")
+def wildcard_names(c: Corpus) -> DataFrame:
+    """``from .base import *`` in every file, met by the file it leads to."""
+    found = facts(c)
+    table = T.symbol_table(found, files(c))
+    return R.expand_wildcards(table.imports, E.extract_components(found)).select("file_path", "visible_name", "target")
+
+
+# the graph writes modules as paths; a caller that is no component matches nothing
+@query(f"""WITH {_P} SELECT mod || '.' || cls || '.price' AS caller_id, 'method' AS caller_type, 'ValueError' AS raw_callee FROM p
+UNION ALL SELECT mod || '.' || fn, 'function', replace(mod, '.', '/') || '.' || cls FROM p""")
+def caller_match(c: Corpus) -> DataFrame:
+    graph = c.sql("""SELECT 'corpus' AS repo_id, folder || '/p' || CAST(p_partkey AS STRING) || '.P' || CAST(p_partkey AS STRING) || '.price' AS caller_key,
+        'ValueError' AS callee FROM fx_method
+        UNION ALL SELECT 'corpus', folder || '/p' || CAST(p_partkey AS STRING) || '.make_p' || CAST(p_partkey AS STRING),
+        folder || '/p' || CAST(p_partkey AS STRING) || '.P' || CAST(p_partkey AS STRING) FROM fx_method
+        UNION ALL SELECT 'corpus', folder || '/p' || CAST(p_partkey AS STRING) || '.gone', 'x' FROM fx_method""")
+    return R.match_callers(E.extract_components(facts(c)), graph).select("caller_id", "caller_type", "raw_callee")
+
+
+# a leading self or cls is no parameter
+@query(f"""WITH {_P}, {_COMPONENTS} SELECT id FROM comp WHERE component_type <> 'class'
+  AND NOT (id LIKE '%.items' OR id LIKE '%.describe' OR id LIKE '%.registered')""")
+def with_parameters(c: Corpus) -> DataFrame:
+    found = facts(c)
+    comps = E.extract_components(found).where("component_type <> 'class'")
+    return has_parameters(comps, E.extract_params(found)).select("id")
+
+
 @query(f"""WITH {_P}, {_COMPONENTS} SELECT caller AS component_id, name FROM (
   SELECT mod || '.' || fn AS caller, unnest([m || '.base.helper', m || '.nothing', 'numpy.' || cls]) AS name FROM p) q
   WHERE name IN (SELECT id FROM comp) OR split_part(name, '.', 1) IN (SELECT split_part(module, '.', 1) FROM fx_module)""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -115,8 +116,12 @@ _MEMBERS = pa.schema([("archive", pa.string()), ("member", pa.string()), ("conte
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Files inside each archive, one output batch per file; a damaged archive has none."""
-    def row(archive: str, member: str, content: bytes) -> pa.RecordBatch:
+    """Files inside each archive, one output batch per file.
+
+    A member that cannot be read (encrypted, damaged, of unknown compression) keeps its row without content, and so
+    becomes a file without a source; a damaged archive has no members.
+    """
+    def row(archive: str, member: str, content: bytes | None) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist([dict(archive=archive, member=member, content=content)], schema=_MEMBERS)
 
     for batch in batches:
@@ -128,8 +133,13 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for info in z.infolist():
-                        if not info.is_dir():
-                            yield row(archive, info.filename, z.read(info))
+                        if info.is_dir():
+                            continue
+                        try:
+                            inside = z.read(info)
+                        except (zipfile.BadZipFile, RuntimeError, NotImplementedError, OSError, EOFError, zlib.error):
+                            inside = None
+                        yield row(archive, info.filename, inside)
             except zipfile.BadZipFile:
                 continue
 
