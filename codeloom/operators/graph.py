@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.exprs import label, last_seg
-from codeloom.operators.skew import BROADCAST_ROWS, hot_keys, lookup_join, numbered, spread
-from codeloom.session import cut, lay_out
+from codeloom.operators.skew import hot_keys, lookup_join, numbered, spread
+from codeloom.session import cut, lay_out, release
 
 # --- fixed values -----------------------------------------------------------
 NODE_COLOURS = {"class": "#a3c4f3", "method": "#fde4a3", "function": "#b3e6c3"}
@@ -91,7 +91,6 @@ def _power_iteration(nodes: DataFrame, edges: DataFrame, damping: float, max_ite
         (F.lit(1.0) / F.col("size")).alias("score"), F.lit(None).cast("double").alias("prev"),
         F.lit(0).alias("iteration"), F.lit(False).alias("done")))
 
-    few_repos = sizes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     history: list[DataFrame] = []
     for step in range(1, max_iter + 1):
         per_repo = state.groupBy("repo_id").agg(
@@ -100,7 +99,7 @@ def _power_iteration(nodes: DataFrame, edges: DataFrame, damping: float, max_ite
             F.max("size").alias("_size"))
         bound = F.lit(tol or 0.0) * (F.col("_size") if per_node else F.lit(1))
         settled = F.lit(False) if tol is None else F.coalesce(F.col("moved") < bound, F.lit(False))
-        per_repo = per_repo.select("repo_id", "lost", settled.alias("settled"))
+        per_repo = cut(per_repo.select("repo_id", "lost", settled.alias("settled")))  # once for the test and the step
         if tol is not None and step > 1 and not per_repo.where(~F.col("settled")).take(1):
             break
         shares = state.where("out > 0 AND NOT done").select(
@@ -113,14 +112,17 @@ def _power_iteration(nodes: DataFrame, edges: DataFrame, damping: float, max_ite
         fresh = F.lit(1.0 - damping) / F.col("size") + F.lit(damping) * (
             F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("size"))
         with_repo = state.join(received, "n", "left").join(
-            F.broadcast(per_repo) if few_repos else per_repo, "repo_id")
-        state = cut(with_repo.select(
+            per_repo, "repo_id")
+        before, state = state, cut(with_repo.select(
             "repo_id", "id", "n", "size", "out", "parts",
             F.when(F.col("settled"), F.col("score")).otherwise(fresh).alias("score"),
             F.col("score").alias("prev"),
             F.when(F.col("settled"), F.col("iteration")).otherwise(F.col("iteration") + 1).alias("iteration"),
             F.col("settled").alias("done")))
-        if keep:
+        release(per_repo)
+        if not keep:
+            release(before)
+        else:
             history.append(state.where(F.col("iteration") == step)
                            .select("repo_id", "id", F.col("iteration").cast("long"), "score"))
     return state, history
@@ -178,10 +180,9 @@ def _spread_labels(edges: DataFrame, labels: DataFrame, gain: Column, value: str
     if hot.take(1):
         hot = cut(hot)
         edges = lay_out(spread(edges, [*lanes, "a"], ["b"], hot), width, *lanes, "a", "_salt")
-        few = hot.count() <= BROADCAST_ROWS
 
         def sent(values: DataFrame) -> DataFrame:
-            sized = values.join(F.broadcast(hot) if few else hot, [*lanes, "a"], "left")
+            sized = values.join(hot, [*lanes, "a"], "left")
             return sized.withColumn("_salt", F.explode(F.sequence(
                 F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
         key = [*lanes, "a", "_salt"]
@@ -189,6 +190,7 @@ def _spread_labels(edges: DataFrame, labels: DataFrame, gain: Column, value: str
         edges = lay_out(edges, width, *lanes, "a")
         sent, key = (lambda values: values), [*lanes, "a"]
     total = labels.agg(F.sum(F.col(value).cast("decimal(38,0)"))).first()[0]
+    last: DataFrame | None = None
     while True:
         for _ in range(STEPS_PER_CUT):
             labels = (
@@ -196,7 +198,10 @@ def _spread_labels(edges: DataFrame, labels: DataFrame, gain: Column, value: str
                 .groupBy(*lanes, "b").agg(F.max(gain).alias(value))
                 .withColumnRenamed("b", "a")
             )
-        labels = cut(labels)
+        before, last = last, cut(labels)
+        labels = last
+        if before is not None:
+            release(before)
         now = labels.agg(F.sum(F.col(value).cast("decimal(38,0)"))).first()[0]
         if now == total:
             return labels

@@ -10,20 +10,19 @@ from pyspark.sql.window import Window
 
 from codeloom.session import cut
 
-BROADCAST_ROWS = 200_000
 HOT_ROWS = 1_000_000
+#: Length of the pieces that substring lookups are blocked by.
+PIECE = 3
 
 
-def lookup_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner",
-                limit: int = BROADCAST_ROWS) -> DataFrame:
+def lookup_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join a table that is usually small (one row per repository, per agent, ...).
 
-    ``lookup`` is counted up to ``limit`` rows; only below that it is broadcast.
-    Beyond it the join is an ordinary shuffled one, where adaptive execution
-    splits oversized partitions.
+    ``lookup`` is computed once, into a table whose bytes are known: Spark
+    broadcasts it where they are few; else the join is an ordinary shuffled one,
+    where adaptive execution splits oversized partitions.
     """
-    small = lookup.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(lookup) if small else lookup, list(on), how)
+    return df.join(cut(lookup), list(on), how)
 
 
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
@@ -96,22 +95,36 @@ def first_containing(needles: DataFrame, texts: DataFrame, scope: Sequence[str],
                      needle: str, text: str, found: str = "found") -> DataFrame:
     """Distinct (scope, needle) that occur inside a text of the scope, with the smallest such text.
 
-    A substring test is an equality with one of the text's substrings, so both
-    sides are made distinct, the texts are cut into all substrings of a length
-    some needle of the same scope has, and the result is an equi join.  No needle
-    is ever paired with a text it does not occur in.
+    A text that holds a needle holds all its pieces of ``PIECE`` characters, so a
+    needle is looked up by the one that the fewest texts of its scope hold, and
+    only the texts found so are tested.  Texts are cut into as many pieces as they
+    have characters and travel under a key; a needle with a piece that no text has
+    meets none.  Shorter needles are pieces themselves.
     """
     scope = list(scope)
-    wanted = needles.select(*scope, needle).where(F.col(needle).isNotNull()).distinct()
-    bodies = texts.select(*scope, text).where(F.col(text).isNotNull()).distinct()
-    # one row per needle length of the scope: no more rows than the longest needle has characters
-    lengths = wanted.select(*scope, F.length(needle).alias("_len")).distinct()
-    pieces = (
-        lookup_join(bodies, lengths, scope)
-        .where(F.length(text) >= F.col("_len"))
-        .withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("_len") + 1)))
-        .select(*scope, F.substring(F.col(text), F.col("_at"), F.col("_len")).alias(needle),
-                F.col(text).alias(found))
-        .groupBy(*scope, needle).agg(F.min(found).alias(found))
-    )
-    return wanted.join(pieces, [*scope, needle])
+    wanted = cut(needles.select(*scope, needle).where(F.col(needle).isNotNull()).distinct())
+    bodies = cut(
+        texts.select(*scope, F.col(text).alias("_text")).where(F.col(text).isNotNull()).distinct()
+        .withColumn("_key", F.unhex(F.md5(F.encode("_text", "UTF-8")))))
+
+    def pieces(df: DataFrame, of: str, n: int, *keep: str) -> DataFrame:
+        chars = F.split(F.col(of), "")
+        zipped = F.arrays_zip(*[(F.slice(chars, k + 1, F.greatest(F.size(chars) - k, F.lit(0)))).alias(f"c{k}") for k in range(n)])
+        joined = F.transform(zipped, lambda z: F.concat(*[z[f"c{k}"] for k in range(n)]))
+        held = F.array_distinct(F.filter(joined, lambda x: x.isNotNull() & (F.length(x) == n)))
+        return df.select(*keep, F.explode(held).alias("_piece"))
+
+    long_ = wanted.where(F.length(needle) >= PIECE)
+    have = pieces(bodies, "_text", PIECE, *scope, "_key")
+    known = have.groupBy(*scope, "_piece").agg(F.count(F.lit(1)).alias("_n"))
+    own = pieces(long_, needle, PIECE, *scope, needle).join(known, [*scope, "_piece"], "left")
+    rarest = own.groupBy(*scope, needle).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_piece").alias("piece"))).alias("_r"))
+    met = rarest.where("_r.n > 0").select(*scope, needle, F.col("_r.piece").alias("_piece")).join(have, [*scope, "_piece"]).drop("_piece")
+    for n in range(1, PIECE):
+        short = wanted.where(F.length(needle) == n)
+        met = met.unionByName(short.join(pieces(bodies, "_text", n, *scope, "_key").withColumnRenamed("_piece", needle), [*scope, needle]).select(met.columns))
+    hits = met.join(bodies, [*scope, "_key"]).where(F.contains(F.col("_text"), F.col(needle))).select(*scope, needle, "_text")
+    # an empty needle is in every text; the smallest stands for them
+    least = bodies.groupBy(*scope).agg(F.min("_text").alias("_text"))
+    empty = wanted.where(F.length(needle) == 0).join(least, scope).select(*scope, needle, "_text")
+    return hits.unionByName(empty).groupBy(*scope, needle).agg(F.min("_text").alias(found))
