@@ -165,62 +165,96 @@ def train(docs: DataFrame, counts: DataFrame, head: dict[bytes, int]) -> tuple[l
     return model, own, stats
 
 
+class _Places(dict):
+    """Common word -> its place in the arrays of the head; any other word -> -1 - class, remembered up to a bound."""
+
+    def __init__(self, head: dict[bytes, int], classes: lbl.Classes):
+        super().__init__((w, i) for i, w in enumerate(head))
+        self.classes, self.bound = classes, len(head) + 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        x = -1 - self.classes[word]
+        if len(self) < self.bound:
+            self[word] = x
+        return x
+
+
 def _scored(shared):
     def run(batches):
         head, own, model, (tokens, discount, share), total, types = shared.value
         classes, table = lbl.Classes(own), lbl.table(model, share)
-        base = {w: np.log10((n + ALPHA) / (total + ALPHA * (types + 1))) for w, n in head.items()}
-        with np.errstate(divide="ignore"):
-            log_class = np.log10(np.maximum(tokens, lbl.TINY))
-        inner = {}
-        for w, n in head.items():
-            c = classes[w] if w else lbl.END
-            inner[w] = 0.0 if c < lbl.OWN or c == lbl.END else np.log10(n - discount[c]) - log_class[c]
+        log_class = np.log10(np.maximum(tokens, lbl.TINY))
+        class_at = np.fromiter((classes[w] if w else lbl.END for w in head), np.int64, len(head))
+        counts = np.fromiter(head.values(), float, len(head))
+        base = np.log10((counts + ALPHA) / (total + ALPHA * (types + 1)))
+        alone = (class_at < lbl.OWN) | (class_at == lbl.END)
+        inner = np.where(alone, 0.0, np.log10(np.maximum(counts - discount[class_at], lbl.TINY)) - log_class[class_at])
+        places = _Places(head, classes)
+        end_known = b"" in head
+        end = places[b""] if end_known else -1 - lbl.END
         number = (TaskContext.get().partitionId() << 40) - 1
+
+        def rated(words: list[bytes], before: list[bytes], last: bool):
+            """Places, and log10 probabilities of the classes and of the unknown word, of a part of a text."""
+            at = np.fromiter(map(places.__getitem__, before + words), np.int64, len(before) + len(words))
+            if last:
+                at = np.append(at, end)
+            w = np.where(at >= 0, class_at[at] if len(class_at) else 0, -1 - at)
+            one, two = lbl.contexts(w, np.array([0]))
+            skip = len(before)
+            return at[skip:], w[skip:], *table.log(one[skip:], two[skip:], w[skip:])
+
         for batch in batches:
             ids, held = batch.column("doc_id"), batch.column("held_out")
-            for at, texts in texts_of(batch, size=200):
-                rows: list[tuple] = []
-                for i, t in enumerate(texts):
+            for at, texts in texts_of(batch, size=500):
+                row, word, n_of, known_sum, unknown_sum, class_of, first, sums = [], [], [], [], [], [], [], []
+                for t in texts:
                     number += 1
                     words = words_of(t)
                     sure = base_sum = 0.0
-                    known, rest = 0, {}
-                    for chunk in range(0, len(words) + 1, CHUNK):
-                        # two words before the chunk for its contexts
-                        some = words[max(0, chunk - 2):chunk + CHUNK]
-                        skip = min(2, chunk)
-                        w = classes.sequence(some)
-                        one, two = lbl.contexts(w, np.array([0]))
-                        last = chunk + CHUNK > len(words)
-                        stop = len(w) if last else len(w) - 1
-                        p, unknown = table.log(one[skip:stop], two[skip:stop], w[skip:stop])
-                        some = some[skip:] + ([b""] if last else [])
-                        x = np.fromiter((inner.get(v, np.nan) for v in some), float, len(some))
-                        rare = np.isnan(x)
-                        sure += float((p + x)[~rare].sum())
-                        known += len(some) - int(rare.sum())
-                        base_sum += sum(base[v] for v, r in zip(some, rare, strict=True) if not r)
-                        for j in np.flatnonzero(rare):
-                            v = some[j]
-                            n, a, b, c = rest.get(v, (0, 0.0, 0.0, int(w[skip + j])))
-                            rest[v] = (n + 1, a + float(p[j]), b + float(unknown[j]), c)
+                    known = 0
+                    rest: dict[bytes, list] = {}
+                    for chunk in range(0, max(1, len(words)), CHUNK):
+                        some = words[chunk:chunk + CHUNK]
+                        last = chunk + CHUNK >= len(words)
+                        place, w, p, unknown = rated(some, words[max(0, chunk - 2):chunk], last)
+                        common = place >= 0
+                        sure += float(p[common].sum() + inner[place[common]].sum())
+                        base_sum += float(base[place[common]].sum())
+                        known += int(common.sum())
+                        for j in np.flatnonzero(~common).tolist():
+                            v = some[j] if j < len(some) else b""
+                            if (r := rest.get(v)) is None:
+                                rest[v] = [1, p[j], unknown[j], w[j]]
+                            else:
+                                r[0] += 1
+                                r[1] += p[j]
+                                r[2] += unknown[j]
                     # the text's own sums go with its first rare word, or with a word that there is not
-                    own_sums = (ids[at + i].as_py(), held[at + i].as_py(), len(words) + 1, known, base_sum, sure)
-                    for v, (n, a, b, c) in (rest or {b" " + number.to_bytes(8, "big"): (0, 0.0, 0.0, 0)}).items():
-                        rows.append((number, v, n, a - n * float(log_class[c]), b, float(discount[c]), *own_sums))
-                        own_sums = (None, None, 0, 0, 0.0, 0.0)
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds(ids.type))], NAMES)
+                    rest = rest or {b" " + number.to_bytes(8, "big"): [0, 0.0, 0.0, 0]}
+                    first.append(len(row))
+                    sums.append((len(words) + 1, known, base_sum, sure))
+                    row += [number] * len(rest)
+                    word += rest
+                    for many, column in zip(zip(*rest.values(), strict=True), (n_of, known_sum, unknown_sum, class_of), strict=True):
+                        column += many
+                n, c = np.array(n_of), np.array(class_of)
+                own_sums = np.zeros((len(row), 4))
+                own_sums[first] = sums
+                where = np.full(len(row), -1)
+                where[first] = np.arange(at, at + len(texts))
+                index = pa.array(where, pa.int64(), mask=where < 0)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(row, pa.int64()), pa.array(word, pa.binary()), pa.array(n, pa.int32()),
+                    pa.array(np.array(known_sum) - n * log_class[c], pa.float32()), pa.array(np.array(unknown_sum), pa.float32()), pa.array(discount[c], pa.float32()),
+                    ids.take(index), held.take(index), pa.array(own_sums[:, 0].astype(np.int64)), pa.array(own_sums[:, 1].astype(np.int64)),
+                    pa.array(own_sums[:, 2]), pa.array(own_sums[:, 3])], NAMES)
     return run
 
 
 NAMES = ["row", "word", "n", "as_known", "as_unknown", "discount", "doc_id", "held_out", "n_tokens", "known", "base", "sure"]
 
 
-def kinds(id_kind) -> list:
-    return [pa.int64(), pa.binary(), pa.int32(), pa.float32(), pa.float32(), pa.float32(), id_kind, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-
-
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns where ``held_out`` is false."""
     spark = docs.sparkSession
