@@ -126,12 +126,12 @@ def context_budget(c: Corpus) -> DataFrame:
 
 
 _PRUNED = f"""{_pieces('fx_parts')}, {_FOCAL},
-sized AS (SELECT id, gone_at, len(regexp_extract_all(text, '{TOKEN_PATTERN}')) AS t FROM piece),
+sized AS MATERIALIZED (SELECT id, gone_at, len(regexp_extract_all(text, '{TOKEN_PATTERN}')) AS t FROM piece),
 base AS (SELECT foc.id, len(regexp_extract_all(source_code, '{TOKEN_PATTERN}')) AS f, coalesce(sum(t), 0) AS total, count(t) AS n FROM foc LEFT JOIN sized USING (id) GROUP BY 1, source_code),
 tried AS (SELECT id, CAST(0 AS BIGINT) AS k, CAST(0 AS HUGEINT) AS gone FROM base UNION ALL
   SELECT id, gone_at, sum(t) OVER (PARTITION BY id ORDER BY gone_at) FROM sized WHERE gone_at <= 20),
 size_at AS (SELECT id, k, CAST(f + CASE WHEN k = n THEN len(regexp_extract_all('{C.NO_CONTEXT}', '{TOKEN_PATTERN}')) ELSE total - gone END AS BIGINT) AS tokens FROM tried JOIN base USING (id)),
-verdict AS (SELECT id, coalesce(min(k) FILTER (WHERE tokens <= 400), max(k)) AS removed, coalesce(arg_min(tokens, k) FILTER (WHERE tokens <= 400), arg_max(tokens, k)) AS tokens,
+verdict AS MATERIALIZED (SELECT id, coalesce(min(k) FILTER (WHERE tokens <= 400), max(k)) AS removed, coalesce(arg_min(tokens, k) FILTER (WHERE tokens <= 400), arg_max(tokens, k)) AS tokens,
   count(*) FILTER (WHERE tokens <= 400) > 0 AS ok FROM size_at GROUP BY 1)"""
 
 
