@@ -31,6 +31,13 @@ INTERNAL_HEAD = "### INTERNAL CONTEXT\n\n"
 DEPENDENCY_HEAD = "#### Dependencies\n\nThe component to be documented depends on the following internal components:\n\n"
 USAGE_HEAD = "#### Usage Examples (`used_by`)\n\nHere are examples of how the component is used:\n\n"
 EXTERNAL_HEAD = "### EXTERNAL CONTEXT\n\nInformation retrieved from external sources:\n\n"
+PARENT_LINE = "**Parent Class:** `"
+COMPONENT_LINE = "**Component:** `"
+SOURCE_LINE = "**Source Component:** `"
+TYPE_LINE = "`\n**Context Type:** "
+QUERY_LINE = "**Query:** `"
+RESULT_LINE = "`\n**Result:**\n"
+CODE_OPEN, CODE_CLOSE = "```python\n", "\n```"
 BLOCK_BREAK = "\n---\n"
 SECTION_BREAK = "\n\n"
 NO_CONTEXT = "Tidak terdapat konteks untuk komponen tersebut."
@@ -181,14 +188,14 @@ def _with_counts(parts: DataFrame) -> DataFrame:
 def _piece() -> Column:
     """A part's share of the text: what separates it from the part before, then its block."""
     kind, part = F.col("kind"), F.col("part_id")
-    code = F.concat(F.lit("\n```python\n"), F.coalesce("content", F.lit("")), F.lit("\n```"))
-    kind_line = F.concat(F.lit("`\n**Context Type:** "), F.col("type"), code)
+    code = F.concat(F.lit("\n" + CODE_OPEN), F.coalesce("content", F.lit("")), F.lit(CODE_CLOSE))
+    kind_line = F.concat(F.lit(TYPE_LINE), F.col("type"), code)
     block = (
-        F.when(kind == "class", F.concat(F.lit("```python\n"), F.col("content"), F.lit("\n```")))
-        .when(kind == "parent", F.concat(F.lit("**Parent Class:** `"), part, kind_line))
-        .when(kind == "dependency", F.concat(F.lit("**Component:** `"), part, kind_line))
-        .when(kind == "usage", F.concat(F.lit("**Source Component:** `"), part, F.lit("`"), code))
-        .otherwise(F.concat(F.lit("**Query:** `"), part, F.lit("`\n**Result:**\n"), F.coalesce("content", F.lit("")))))
+        F.when(kind == "class", F.concat(F.lit(CODE_OPEN), F.col("content"), F.lit(CODE_CLOSE)))
+        .when(kind == "parent", F.concat(F.lit(PARENT_LINE), part, kind_line))
+        .when(kind == "dependency", F.concat(F.lit(COMPONENT_LINE), part, kind_line))
+        .when(kind == "usage", F.concat(F.lit(SOURCE_LINE), part, F.lit("`"), code))
+        .otherwise(F.concat(F.lit(QUERY_LINE), part, F.lit(RESULT_LINE), F.coalesce("content", F.lit("")))))
     before = F.lit(0)
     earlier = F.lit(0)
     for k in RENDER_ORDER:

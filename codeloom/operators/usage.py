@@ -12,6 +12,12 @@ from codeloom.operators.skew import lookup_join
 PRICES = {"flash": (0.30, 2.50), "pro": (1.25, 10.00)}
 AGENT_MODELS = {"reader": "flash", "writer": "flash", "verifier": "flash", "searcher": "pro"}
 EXCHANGE_RATE = 16739
+# lines of the report
+AGENT_LINE = "| %-12s | %,15d | %,15d | %,15d | %,12d |"
+COST_LINE = "| %-22s | $%,17.5f | Rp %,22.2f |"
+TOTAL_COST = "GRAND TOTAL COST"
+AVERAGE_LINES = ("  Average Total Tokens : %,.2f", "  Average Input Tokens : %,.2f", "  Average Output Tokens: %,.2f", "  Average Cost (IDR)   : Rp %,.2f")
+COMPONENT_LINE = "%-60s | %-22s | %-22s | %-22s | %-22s | %-15s | %-15s"
 # ----------------------------------------------------------------------------
 
 COUNTERS = ["call_count", "input_tokens", "output_tokens", "total_tokens"]
@@ -121,18 +127,15 @@ def usage_report(usage: DataFrame, components: DataFrame, prices: DataFrame, rat
                  f"{'TOT CALL':<15} | {'TOT TOK':<15}"),
     }
     tokens = put(usage_rollup(usage), 1, line_no, F.format_string(
-        "| %-12s | %,15d | %,15d | %,15d | %,12d |", F.upper("agent"), "input_tokens", "output_tokens", "total_tokens", "call_count"), behind)
-    name = F.when(F.col("agent") == "total", "GRAND TOTAL COST").otherwise(
+        AGENT_LINE, F.upper("agent"), "input_tokens", "output_tokens", "total_tokens", "call_count"), behind)
+    name = F.when(F.col("agent") == "total", TOTAL_COST).otherwise(
         F.concat(F.initcap("agent"), F.lit(" ("), F.coalesce(F.initcap("model"), F.lit("-")), F.lit(")")))
     cost = put(usage_cost(usage, prices, rate), 2, line_no, F.format_string(
-        "| %-22s | $%,17.5f | Rp %,22.2f |", name, "cost_usd", "cost_local"), behind)
+        COST_LINE, name, "cost_usd", "cost_local"), behind)
     averages = usage_averages(usage, components, prices, rate).select("repo_id", F.posexplode(F.array(
-        F.format_string("  Average Total Tokens : %,.2f", "avg_total"),
-        F.format_string("  Average Input Tokens : %,.2f", "avg_input"),
-        F.format_string("  Average Output Tokens: %,.2f", "avg_output"),
-        F.format_string("  Average Cost (IDR)   : Rp %,.2f", "avg_cost"))).alias("pos", "text"))
+        *[F.format_string(line, value) for line, value in zip(AVERAGE_LINES, ("avg_total", "avg_input", "avg_output", "avg_cost"), strict=True)])).alias("pos", "text"))
     details = put(usage_by_component(usage, components), 4, F.lit(1), F.format_string(
-        "%-60s | %-22s | %-22s | %-22s | %-22s | %-15s | %-15s", "component_id", *AGENTS,
+        COMPONENT_LINE, "component_id", *AGENTS,
         F.col("total_call").cast("string"), F.col("total_token").cast("string")), F.col("component_id"))
     out = tokens.unionByName(cost).unionByName(put(averages, 3, F.col("pos") + 1, F.col("text"))).unionByName(details)
     for section, head in heads.items():

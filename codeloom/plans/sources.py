@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.exprs import module_path
 from codeloom.operators import extract as E
+from codeloom.operators import graph as G
 from codeloom.operators import resolve as R
 from codeloom.operators import trace as T
 from codeloom.operators.helpfulness import has_parameters
@@ -160,6 +161,31 @@ def caller_match(c: Corpus) -> DataFrame:
     return R.match_callers(E.extract_components(facts(c)), graph).select("caller_id", "caller_type", "raw_callee")
 
 
+# calls by the call graph and, where nothing else fits, by the imports; members; bases and decorators
+@query(f"""WITH RECURSIVE {_P}, {_COMPONENTS}, near AS (SELECT x.m, min(y.m) AS first FROM b x JOIN b y ON y.n BETWEEN x.n AND x.n + 5 GROUP BY 1),
+edge AS MATERIALIZED (
+  SELECT mod || '.' || fn AS src, mod || '.' || cls AS dst FROM p
+  UNION SELECT mod || '.' || fn, first || '.base.helper' FROM p JOIN near USING (m)
+  UNION SELECT mod || '.' || fn, first || '.base.Root.describe' FROM p JOIN near USING (m)
+  UNION SELECT mod || '.' || cls, mod || '.' || cls || v FROM p, (SELECT unnest(['.price', '.items']) AS v) t
+  UNION SELECT mod || '.Root', mod || '.Root.describe' FROM b
+  UNION SELECT mod || '.' || cls, m || '.base.Base' FROM p UNION SELECT mod || '.Base', mod || '.Root' FROM b
+  UNION SELECT mod || '.' || cls, m || '.base.registered' FROM p),
+step AS (SELECT id, CAST(0 AS BIGINT) AS lvl FROM comp UNION SELECT e.src, s.lvl + 1 FROM step s JOIN edge e ON e.dst = s.id)
+SELECT id, max(lvl) AS level, (SELECT count(*) FROM edge WHERE src = id) AS n_depends_on, (SELECT count(*) FROM edge WHERE dst = id) AS n_used_by
+FROM step GROUP BY id""")
+def sources_to_order(c: Corpus) -> DataFrame:
+    """From source files to the order of work, with all kinds of edges and the import crawl as the last resort."""
+    found = facts(c)
+    comps, table = cut(E.extract_components(found)), T.symbol_table(found, files(c))
+    graph = c.sql("""SELECT 'corpus' AS repo_id, folder || '/p' || CAST(p_partkey AS STRING) || '.make_p' || CAST(p_partkey AS STRING) AS caller_key,
+        explode(array(folder || '/p' || CAST(p_partkey AS STRING) || '.P' || CAST(p_partkey AS STRING), 'far.helper', 'q.Base.describe', 'no.such.thing', '<builtin>.print')) AS callee
+        FROM fx_method""")
+    calls = R.resolve(R.match_callers(comps, graph), comps, "main-alternatif", fallback=lambda missing: T.resolve_reimports(missing, comps, table))
+    edges = cut(R.all_edges(calls, R.class_method_edges(comps), T.declared_edges(found, comps, table)))
+    return G.levels(comps, edges).join(G.degrees(comps, edges), ["repo_id", "id"]).select("id", "level", "n_depends_on", "n_used_by")
+
+
 # a leading self or cls is no parameter
 @query(f"""WITH {_P}, {_COMPONENTS} SELECT id FROM comp WHERE component_type <> 'class'
   AND NOT (id LIKE '%.items' OR id LIKE '%.describe' OR id LIKE '%.registered')""")

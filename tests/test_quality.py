@@ -10,7 +10,9 @@ from codeloom.functions import metrics as M
 from codeloom.functions import tokens as K
 from codeloom.operators import documents as D
 from codeloom.operators import helpfulness as H
+from codeloom.operators import resolve as R
 from codeloom.operators import truthfulness as T
+from codeloom.operators import usage as U
 from codeloom.schemas import DOCUMENTATION
 
 
@@ -118,3 +120,22 @@ def test_metric_registry(spark):
     assert M.out_of_range(M.evaluate(df, "broken", check=False)).count() == 1
     with pytest.raises(KeyError):
         M.evaluate(df, "unknown")
+
+
+def test_usage_of_unnamed_agents(spark):
+    rows = [("r", "c", "writer", 1, 1, 1, 2), ("r", "c", "Writer", 1, 100, 100, 200), ("r", "d", "unknown", 1, 7, 7, 14), ("r", "d", None, 1, 1, 0, 1)]
+    usage = spark.createDataFrame(rows, "repo_id string, component_id string, agent string, call_count long, input_tokens long, output_tokens long, total_tokens long")
+    got = {r.agent: r.total_tokens for r in U.usage_rollup(usage).collect()}
+    assert got == {"reader": 0, "searcher": 0, "verifier": 0, "writer": 202, "other": 15, "total": 217}
+    assert {r.component_id: r.total_token for r in U.usage_by_component(usage).collect()} == {"c": 202, "d": 15}
+    cost = {r.agent: r.input_tokens for r in U.usage_cost(usage, U.default_prices(spark)).collect()}
+    assert cost["total"] == 109 and cost["other"] == 8
+
+
+def test_export_lists_hold_all(spark):
+    edges = spark.createDataFrame([("r", f"u{i:02}", "hub") for i in range(25)], "repo_id string, src string, dst string")
+    components = spark.createDataFrame([("r", "hub"), ("r", "u00"), ("r", "alone")], "repo_id string, id string")
+    rows = R.with_dependency_lists(components, edges, 10).collect()
+    users = [u for r in sorted(rows, key=lambda r: r.part) if r.id == "hub" for u in r.used_by]
+    assert users == [f"u{i:02}" for i in range(25)] and max(len(r.used_by) for r in rows) == 10
+    assert [(r.part, r.depends_on, r.used_by) for r in rows if r.id == "alone"] == [(0, [], [])]
