@@ -99,13 +99,13 @@ def initial(counts: np.ndarray, seed: int = 7) -> Model:
     return Model(r, np.eye(DIM, dtype=np.float32), np.eye(DIM, dtype=np.float32), q, np.log(p).astype(np.float32))
 
 
-def _sum_rows(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by index, which are small numbers."""
+def _sum_rows(index: np.ndarray, rows: np.ndarray, n: int, space: np.ndarray) -> np.ndarray:
+    """Sums of rows by index, which are small numbers; ``space`` is as large as ``rows``."""
     order = np.argsort(index.astype(np.int16), kind="stable")
     i = index[order]
     first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
     out = np.zeros((n, rows.shape[1]), np.float32)
-    out[i[first]] = np.add.reduceat(rows[order], first, axis=0)
+    out[i[first]] = np.add.reduceat(np.take(rows, order, axis=0, out=space, mode="clip"), first, axis=0)
     return out
 
 
@@ -120,27 +120,37 @@ class Trainer:
         self.g = np.random.default_rng(seed)
         self.seen = [np.full(a.shape, DAMPING, np.float32) for a in self.m.arrays()]
         self.tokens = 0
+        # the large arrays of a step, taken once: fresh ones would be handed back to the system and fetched again each time
+        self.space = [np.empty((BATCH, k), np.float32) for k in (DIM, DIM, DIM, DIM, NOISE)]
 
     def step(self, one: np.ndarray, two: np.ndarray, w: np.ndarray) -> None:
         m, n = self.m, len(w)
+        h, qw, dh, space, down = (x[:n] for x in self.space)
         p1, p2 = m.r @ m.c1, m.r @ m.c2
-        h = p1[one] + p2[two]
+        np.take(p1, one, axis=0, out=h, mode="clip")
+        h += np.take(p2, two, axis=0, out=space, mode="clip")
         s = np.minimum(np.searchsorted(self.cumulated, self.g.random(NOISE)), CLASSES - 1)
-        true = np.einsum("ij,ij->i", h, m.q[w]) + m.b[w] - self.log_kn[w]
-        up = 1 / ((1 + np.exp(np.minimum(true, 60))) * n)
-        # in place: this is the largest array
-        down = h @ m.q[s].T
+        qs = m.q[s]
+        np.take(m.q, w, axis=0, out=qw, mode="clip")
+        true = np.einsum("ij,ij->i", h, qw) + m.b[w] - self.log_kn[w]
+        # beyond 30 nothing is left to learn, and squares of gradients would become denormal, which is slow
+        up = 1 / ((1 + np.exp(np.minimum(true, 30))) * n)
+        np.matmul(h, qs.T, out=down)
         down += m.b[s] - self.log_kn[s]
-        np.minimum(np.negative(down, out=down), 60, out=down)
+        np.minimum(np.negative(down, out=down), 30, out=down)
         np.exp(down, out=down)
         down += 1
         np.divide(np.float32(-1 / n), down, out=down)
-        dh = up[:, None] * m.q[w] + down @ m.q[s]
-        dq = _sum_rows(w, up[:, None] * h, CLASSES)
-        np.add.at(dq, s, down.T @ h)
+        np.matmul(down, qs, out=dh)
+        qw *= up[:, None]
+        dh += qw
+        dqs, dbs = down.T @ h, down.sum(axis=0)
+        h *= up[:, None]
+        dq = _sum_rows(w, h, CLASSES, space)
+        np.add.at(dq, s, dqs)
         db = np.bincount(w, weights=up, minlength=CLASSES).astype(np.float32)
-        np.add.at(db, s, down.sum(axis=0))
-        d1, d2 = _sum_rows(one, dh, CLASSES + 1), _sum_rows(two, dh, CLASSES + 1)
+        np.add.at(db, s, dbs)
+        d1, d2 = _sum_rows(one, dh, CLASSES + 1, space), _sum_rows(two, dh, CLASSES + 1, space)
         gradients = (d1 @ m.c1.T + d2 @ m.c2.T, m.r.T @ d1, m.r.T @ d2, dq, db)
         for a, d, seen in zip(m.arrays(), gradients, self.seen, strict=True):
             d *= 100  # a batch's mean gradient is small beside what Adagrad starts from

@@ -42,7 +42,7 @@ ALPHA = 0.1
 def words_of(text: bytes) -> list[bytes]:
     """Lower-cased (A-Z) words; of bytes, split() parts at the six ASCII spaces only."""
     words = text.lower().split()
-    if any(len(w) > LONGEST for w in words):
+    if max(map(len, words), default=0) > LONGEST:
         # no word holds a space, so digests are never taken for words
         return [w if len(w) <= LONGEST else b" " + hashlib.sha256(w).digest() for w in words]
     return words
