@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from codeloom.llm import omh
 from codeloom.llm.common import cut, named, slim, spare, text_key, texts_of
+from codeloom.session import release
 
 SIMILAR = 0.8
 SMALL = 32
@@ -100,12 +101,15 @@ def components(linked: DataFrame) -> DataFrame:
     """
     edges = cut(linked.select(F.col("a").alias("key"), F.col("b").alias("other")).union(linked.select(F.col("b"), F.col("a"))).distinct())
     labels = cut(edges.groupBy("key").agg(F.min("other").alias("least")).select("key", F.least("key", "least").alias("root")))
+    last: DataFrame | None = None
     while True:
         heard = edges.join(labels.select(F.col("key").alias("other"), "root"), "other").groupBy("key").agg(F.min("root").alias("heard"))
         near = labels.join(heard, "key").select("key", F.least("root", "heard").alias("next"), F.col("root").alias("before"))
         jump = labels.select(F.col("key").alias("next"), F.col("root").alias("beyond"))
         now = cut(near.join(jump, "next", "left").select("key", F.least("next", F.coalesce("beyond", "next")).alias("root"), "before"))
-        labels = now.select("key", "root")
+        before, labels, last = last, now.select("key", "root"), now
+        if before is not None:
+            release(before)
         if not now.where(F.col("root") != F.col("before")).limit(1).count():
             return labels
 
