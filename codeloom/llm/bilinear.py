@@ -31,18 +31,24 @@ TINY = 1e-9
 class Classes(dict):
     """Word -> class, remembered up to a bound."""
 
+    BOUND = 150_000
+
     def __init__(self, own: list[bytes]):
         super().__init__()
         self.own = {w: i for i, w in enumerate(own)}
         self.update(self.own)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > self.BOUND:
             self.clear()
             self.update(self.own)
-        c = self[word] = OWN + zlib.crc32(word[-SUFFIX:]) % OTHER
+        c = self[word] = self.by_suffix(word)
         return c
 
+    @staticmethod
+    def by_suffix(word: bytes) -> int:
+        return OWN + zlib.crc32(word[-SUFFIX:]) % OTHER
+
     def sequence(self, words: list[bytes]) -> np.ndarray:
         """Classes of a text's words and its end."""
         out = np.empty(len(words) + 1, np.int64)

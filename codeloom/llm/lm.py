@@ -33,7 +33,7 @@ HEAD, LONGEST = 200_000, 40
 #: Shares of the training documents in the rounds.
 ROUNDS = (0.1, 0.3, 0.6)
 #: Distinct words that a task counts before it passes its counts on.
-HELD = 300_000
+HELD = 150_000
 #: Tokens that are scored at once.
 CHUNK = 200_000
 ALPHA = 0.1
@@ -166,14 +166,17 @@ def train(docs: DataFrame, counts: DataFrame, head: dict[bytes, int]) -> tuple[l
 
 
 class _Places(dict):
-    """Common word -> its place in the arrays of the head; any other word -> -1 - class, remembered up to a bound."""
+    """Common word -> its place in the arrays of the head; any other word -> -1 - class, remembered up to a bound.
 
-    def __init__(self, head: dict[bytes, int], classes: lbl.Classes):
+    The words that are classes of their own are all common.
+    """
+
+    def __init__(self, head: dict[bytes, int]):
         super().__init__((w, i) for i, w in enumerate(head))
-        self.classes, self.bound = classes, len(head) + 500_000
+        self.bound = len(head) + lbl.Classes.BOUND
 
     def __missing__(self, word: bytes) -> int:
-        x = -1 - self.classes[word]
+        x = -1 - lbl.Classes.by_suffix(word)
         if len(self) < self.bound:
             self[word] = x
         return x
@@ -189,7 +192,7 @@ def _scored(shared):
         base = np.log10((counts + ALPHA) / (total + ALPHA * (types + 1)))
         alone = (class_at < lbl.OWN) | (class_at == lbl.END)
         inner = np.where(alone, 0.0, np.log10(np.maximum(counts - discount[class_at], lbl.TINY)) - log_class[class_at])
-        places = _Places(head, classes)
+        places = _Places(head)
         end_known = b"" in head
         end = places[b""] if end_known else -1 - lbl.END
         number = (TaskContext.get().partitionId() << 40) - 1
