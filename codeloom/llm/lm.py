@@ -202,7 +202,7 @@ def _scored(shared):
             at = np.fromiter(map(places.__getitem__, before + words), np.int64, len(before) + len(words))
             if last:
                 at = np.append(at, end)
-            w = np.where(at >= 0, class_at[at] if len(class_at) else 0, -1 - at)
+            w = np.where(at >= 0, class_at[np.maximum(at, 0)] if len(class_at) else 0, -1 - at)
             one, two = lbl.contexts(w, np.array([0]))
             skip = len(before)
             return at[skip:], w[skip:], *table.log(one[skip:], two[skip:], w[skip:])
