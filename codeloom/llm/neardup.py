@@ -7,8 +7,11 @@ content and order count.  Texts with an equal sketch share a bucket.
 Candidates: in a bucket of up to ``SMALL`` texts, all pairs.  In a larger one all texts are paired with leaders: the
 text whose sketches are the most frequent (of copies with changes, that is the one they stem from), and about half
 the logarithm of the bucket's size of others, drawn by hash, others in each bucket.  The work so stays nearly linear
-in the size of a group; a link between two texts of a large bucket that are neither linked to a leader nor leaders
-is found in another of their common buckets, or not (the README has the measured recall).
+in the size of a group of copies.  Texts of large buckets that the leaders leave in several classes (say, many that
+share a long template) then meet in an exact join: two texts of different classes are compared if they share one of
+the rarest k-mers that a pair of ``SIMILAR`` must share (prefix filter, for sequences with repeats and for sets).  So
+no class is cut by the size of a bucket.  Links inside a class that is already whole are not searched for: ``n_links``
+of a text in a large bucket is the number of links that were verified, not of all its links.
 
 A pair is a link where the banded alignment of the k-mer sequences, or the exact overlap of the k-mer sets, reaches
 ``SIMILAR``.  Classes are the connected components of the links, found by label propagation on tables.
@@ -20,8 +23,9 @@ without any id has a null class_id.  Repeated rows are equal texts.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm import omh
@@ -52,11 +56,15 @@ def sketch_rows(docs: DataFrame) -> DataFrame:
     return cut(rows.mapInArrow(_sketched, f"key binary, doc_id {kind}, n long, sketches array<long>"))
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of texts (key, n, sketches) worth a comparison."""
+def bucketed(texts: DataFrame) -> DataFrame:
+    """Members of the buckets of several texts (key, n, sketches): key, n, bucket, size."""
     rows = texts.select("key", "n", F.posexplode("sketches").alias("i", "value")).select("key", "n", F.xxhash64("i", "value").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = cut(rows.join(sizes, "bucket"))
+    return cut(rows.join(sizes, "bucket"))
+
+
+def candidates(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of members of a bucket that are worth a comparison."""
     popular = members.groupBy("key").agg(F.sum("size").alias("popularity"))
     large = members.where(F.col("size") > SMALL)
     hubs = large.join(popular, "key").groupBy("bucket").agg(F.max(F.struct("popularity", "key")).alias("top")).select("bucket", F.col("top.key").alias("leader"))
@@ -69,6 +77,71 @@ def candidates(texts: DataFrame) -> DataFrame:
     return pairs.select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
 
 
+def _gram_rows(batches):
+    """Two rows of each text: its labelled k-mers (sets 0), and its distinct ones (sets 1)."""
+    for batch in batches:
+        keys = batch.column("key").to_pylist()
+        for at, texts in texts_of(batch, size=100):
+            key, sets, n, all_grams = [], [], [], []
+            for k, t in enumerate(texts):
+                grams = omh.kmers(t.lower().split())
+                if len(grams):
+                    for kind, own in enumerate((omh.labelled(grams), np.unique(grams))):
+                        key.append(keys[at + k])
+                        sets.append(kind)
+                        n.append(len(own))
+                        all_grams.append(own.view(np.int64))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(key, pa.binary()), pa.array(sets, pa.int32()), pa.array(n, pa.int64()), pa.array(all_grams, pa.list_(pa.int64()))],
+                ["key", "sets", "n", "grams"])
+
+
+def _needed(n: Column, share: float) -> Column:
+    """The least whole number from ``share`` of n on; an exact product stays what it is."""
+    return F.ceil(n * share - 1e-9)
+
+
+def rare_pairs(texts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of texts (key, text) of different classes (key, root); none of ``SIMILAR`` is left out.
+
+    In one order of all k-mers, rarest first, two texts of n <= m k-mers with enough in common (c of them) have their
+    first common one among the first n - c + 1 and m - c + 1.  Tokens first pair classes and then their members, so
+    that a large class does not meet itself.
+    """
+    grams = texts.mapInArrow(_gram_rows, "key binary, sets int, n long, grams array<long>").select("key", "sets", "n", F.explode("grams").alias("gram"))
+    df = grams.groupBy("sets", "gram").agg(F.count(F.lit(1)).alias("df"))
+    place = F.row_number().over(Window.partitionBy("sets", "key").orderBy("df", "gram"))
+    pair_share = 2 * SIMILAR / (1 + SIMILAR)
+    ranked = grams.join(df, ["sets", "gram"]).withColumn("place", place).where((F.col("df") > 1) & (F.col("place") <= F.col("n") - _needed(F.col("n"), SIMILAR) + 1))
+    rows = cut(ranked.join(roots, "key").select("sets", "gram", "root", "key", "n", "place"))
+    # of a pair, the shorter text (of equal ones the smaller key) has fewer places
+    short = rows.where(F.col("place") <= F.col("n") - _needed(F.col("n"), pair_share) + 1)
+
+    def groups(side: DataFrame, name: str) -> DataFrame:
+        return side.groupBy("sets", "gram", F.col("root").alias(f"root_{name}")).agg(
+            F.min("n").alias(f"least_{name}"), F.max("n").alias(f"most_{name}"), F.min("place").alias(f"first_{name}"))
+
+    def near(least_a: str, most_a: str, place_a: str, least_b: str, most_b: str, place_b: str) -> Column:
+        la, ma, lb, mb = (F.col(c) for c in (least_a, most_a, least_b, most_b))
+        half = pair_share / 2
+        return ((la <= mb) & (ma >= _needed(lb, SIMILAR)) & (F.col(place_a) <= ma * (1 - half) - lb * half + 1 + 1e-9)
+                & (F.col(place_b) <= mb * (1 - half) - la * half + 1 + 1e-9))
+
+    met = groups(short, "a").join(groups(rows, "b"), ["sets", "gram"]).where(
+        (F.col("root_a") != F.col("root_b")) & near("least_a", "most_a", "first_a", "least_b", "most_b", "first_b")).select("sets", "gram", "root_a", "root_b")
+    sides = [side.select("sets", "gram", *[F.col(c).alias(f"{c}_{name}") for c in ("root", "key", "n", "place")]) for side, name in ((short, "a"), (rows, "b"))]
+    both = met.join(sides[0], ["sets", "gram", "root_a"]).join(sides[1], ["sets", "gram", "root_b"])
+    both = both.where(near("n_a", "n_a", "place_a", "n_b", "n_b", "place_b") & ((F.col("n_a") < F.col("n_b")) | (F.col("key_a") < F.col("key_b"))))
+    return both.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
+
+
+def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, root) of the texts of large buckets whose members are in several classes."""
+    large = members.where(F.col("size") > SMALL).select("bucket", "key").join(roots, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
+    open_ = large.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where(F.col("least") != F.col("most"))
+    return cut(large.join(open_, "bucket", "left_semi").select("key", "root").distinct())
+
+
 def _verified(batches):
     for batch in batches:
         a, b = batch.column("text_a").cast(pa.binary()), batch.column("text_b").cast(pa.binary())
@@ -83,11 +156,15 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share, pa.float64())], ["a", "b", "similarity"]).filter(kept)
 
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, text) of the wanted keys."""
+    texts = slim(docs, "text").withColumn("key", text_key()).join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    return cut(texts.select("key", F.coalesce("text", F.lit("")).alias("text")))
+
+
 def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs that are similar enough: (a, b, similarity)."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    texts = slim(docs, "text").withColumn("key", text_key()).join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    texts = cut(texts.select("key", F.coalesce("text", F.lit("")).alias("text")))
+    texts = _texts(docs, pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
     both = (pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b"))
     return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a binary, b binary, similarity double"))
@@ -119,8 +196,13 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = sketch_rows(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
     texts = cut(rows.groupBy("key").agg(first, F.max("n").alias("n"), F.max("sketches").alias("sketches")))
-    linked = links(docs, cut(candidates(texts)))
+    members = bucketed(texts)
+    linked = links(docs, cut(candidates(members)))
     roots = components(linked)
+    rest = unsettled(members, roots)
+    if rest.limit(1).count():
+        linked = linked.union(links(docs, cut(rare_pairs(_texts(docs, rest), rest))))
+        roots = components(linked)
     degree = linked.select(F.col("a").alias("key")).union(linked.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
     own = texts.select("key", "first").join(roots, "key", "left").join(degree, "key", "left").select(
         "key", F.coalesce("root", "key").alias("root"), "first", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -206,6 +206,26 @@ def test_large_group_of_copies_stays_together(make_docs):
     assert {x["class_id"] for x in neardup.near_duplicates(make_docs(docs)).collect()} == {0}
 
 
+def test_near_duplicates_that_share_a_template(make_docs):
+    """Pairs of 0.8 among many texts of a long template that are below 0.8 to each other."""
+    r = random.Random(12)
+    template, docs = prose(r, 174), []
+    for i in range(560):
+        docs.append((len(docs), f"{template} {prose(r, 30)}", "en", "s"))
+        if i < 60:
+            w = docs[-1][1].split()
+            for k in r.sample(range(len(w)), 4):
+                w[k] = f"other{r.randrange(10**9)}"
+            docs.append((len(docs), " ".join(w), "en", "s"))
+    sets = [shingles(d[1]) for d in docs]
+    near = {(i, j) for j in range(len(docs)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    want = {d: d for d, *_ in docs} | {j: i for i, j in near}
+    assert len(near) >= 50 and len({x for p in near for x in p}) == 2 * len(near)
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in neardup.near_duplicates(make_docs(docs)).collect()}
+    assert {i: c for i, (c, _) in got.items()} == want
+    assert {i for i, (_, n) in got.items() if n} == {x for p in near for x in p}
+
+
 def test_url_rules(spark):
     r = random.Random(7)
     pages, labels = [], []
