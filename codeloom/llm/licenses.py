@@ -1,8 +1,8 @@
 """License scans: a positional index of the rarest words of license texts.
 
 Words of the license texts get their inverse document frequency over the whole corpus.  Each template keeps its
-``RARE`` rarest words, and a file is looked at where it holds one of these.  The places of the file's highest-IDF
-license words (and of the words of key phrases) meet the templates' postings; hits with the same distance between
+``RARE`` rarest words, and a file is looked at where it holds one of these.  The places of all the file's rare license
+words and words of key phrases (the templates bound how many words these are) meet the templates' postings; hits with the same distance between
 place and template place belong to one occurrence of the template.  An occurrence counts where its rare words weigh
 enough and all words of the template's mandatory key phrase stand in their places.
 
@@ -43,8 +43,8 @@ TEMPLATES = (
     ("cc-by-sa", "Licensed under CC BY-SA 4.0.", "cc by sa"),
     ("cc-by-nd", "Licensed under CC BY-ND 4.0.", "cc by nd"),
 )
-#: Rarest words kept of each template; a file's rarest words that are looked up.
-RARE, LOOKED_UP = 4, 12
+#: Rarest words kept of each template.
+RARE = 4
 #: Share of a template's rare weight that an occurrence needs.
 ENOUGH = 0.6
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -116,22 +116,17 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = slim(docs, "doc_id", "text")
     templates = _templates(*document_frequency(rows))
     rare = sorted({w for t in templates for w in t["rare"]})
-    idf = {w: t["idf"][w] for t in templates for w in t["rare"]}
     looked = sorted({w for t in templates for w in t["rare"] | t["key_words"]})
     # a cheap test on the raw text first; it lets through more than is needed, never less
     cue = F.lower("text").rlike(rf"license|cc[^0-9a-z]+by|(?<![0-9a-z])(?:{'|'.join(rare)})(?![0-9a-z])")
     held = cut(rows.where(cue).select("doc_id", text_key().alias("key"), _joined(F.col("text")).alias("joined")))
     base = held.select("doc_id", "key", *_phrase_counts(F.col("joined")))
 
-    # the places of a file's rarest license words, and of words of key phrases where it has such
+    # the places of a file's rare license words, and of words of key phrases where it has such
     words = held.select("doc_id", "key", F.split(F.substring("joined", F.lit(2), F.length("joined") - 2), " ").alias("words"))
-    weights = F.create_map(*[x for w in rare for x in (F.lit(w), F.lit(-idf[w]))])
-    found = F.array_intersect("words", F.array(*[F.lit(w) for w in rare]))
-    best = F.slice(F.array_sort(F.transform(found, lambda w: F.struct(F.element_at(weights, w).alias("weight"), w.alias("word")))), 1, LOOKED_UP)
-    own = F.array_union(best["word"], F.array(*[F.lit(w) for w in looked if w not in rare]).cast("array<string>"))
     places = (
-        words.withColumn("own", own).where(F.size(found) > 0)
-        .select("doc_id", "key", "own", F.posexplode("words").alias("place", "word")).where(F.array_contains("own", F.col("word"))))
+        words.where(F.arrays_overlap("words", F.array(*[F.lit(w) for w in rare])))
+        .select("doc_id", "key", F.posexplode("words").alias("place", "word")).where(F.col("word").isin(looked)))
     postings = _literal(spark, [(w, t["template"], k, 1 << k) for t in templates for k, w in enumerate(t["words"]) if w in t["rare"] | t["key_words"]],
                         ["word", "template", "at", "bit"], ["string", "int", "int", "long"])
     # the postings are as many as the templates' words: fixed, so broadcast

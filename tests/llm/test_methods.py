@@ -283,6 +283,17 @@ def test_licenses(make_docs):
     assert (rows[99]["n_base"], rows[99]["first_word"], rows[99]["last_word"], rows[99]["n_words"]) == (3, 0, 8, 10)
 
 
+def test_several_licenses_in_a_text(make_docs):
+    r = random.Random(11)
+    picks = [range(len(licenses.TEMPLATES)), (0, 1, 2), *[r.sample(range(len(licenses.TEMPLATES)), r.choice((2, 3, 5))) for _ in range(60)]]
+    docs = [(i, prose(r, 20) + "".join(f"\n{licenses.TEMPLATES[k][1]}\n{prose(r, 20)}" for k in own), "en", "s") for i, own in enumerate(picks)]
+    docs += [(100 + i, prose(r, 60), "en", "s") for i in range(60)]
+    rows = {x["doc_id"]: x for x in licenses.scan(make_docs(docs)).collect()}
+    for i, own in enumerate(picks):
+        assert {licenses.TEMPLATES[k][0] for k in own} <= set(rows[i]["labels"].split(",")), (own, rows[i])
+    assert all(rows[100 + i]["labels"] == "" for i in range(60))
+
+
 def test_measures_against_brute_force(spark, texts):
     rows = {r["doc_id"]: r for r in divergence.op10(spark, SF).collect()}
     for i, t in texts.items():
