@@ -25,9 +25,8 @@ from pyspark.sql.window import Window
 from codeloom.llm.common import SPACE, column, slim, texts_of
 
 LEAST_WORDS = 50
-#: Common words of a language; they are chosen from about SAMPLE documents a language, and counted in all.
+#: Common words of a language, by their counts in all its documents.
 COMMON = 64
-SAMPLE = 2000
 #: Distances beyond which a text is no longer like its language.
 CHARACTERS_APART = 0.30
 WORDS_APART = 0.5
@@ -83,7 +82,9 @@ def _word_counts(batches):
         lang = column(batch, "lang")
         for at, texts in texts_of(batch):
             for i, t in enumerate(texts):
-                held.update((lang[at + i], w) for w in map(_bare, t.split()) if 0 < len(w) <= LONGEST)
+                for word, n in Counter(t.split()).items():
+                    if 0 < len(w := _bare(word)) <= LONGEST:
+                        held[lang[at + i], w] += n
                 if len(held) > 300_000:
                     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.binary()), pa.array(list(held.values()), pa.int64())], ["lang", "word", "n"])
                     held = Counter()
@@ -116,14 +117,10 @@ def word_histogram(words: list[bytes], number: dict[bytes, int]) -> np.ndarray:
 def references(docs: DataFrame) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
     """Numbers of the common words, and the two reference histograms of each language (languages x bins, sums 1)."""
     known = slim(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
-    langs = sorted(sizes)
+    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())  # one row a language
     if not langs:
         return {}, np.zeros((0, N_CLASSES)), np.zeros((0, 1))
-    million = 1_000_000
-    share = F.create_map(*[x for l in langs for x in (F.lit(l), F.lit(min(million, -(-SAMPLE * million // sizes[l]))))])
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < share[F.col("lang")]).select("lang", "text")
-    counts = sample.mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = known.select("lang", "text").mapInArrow(_word_counts, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     top = counts.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= COMMON).collect()  # COMMON words a language
     number = {w: i for i, w in enumerate(sorted({bytes(r["word"]) for r in top}))}

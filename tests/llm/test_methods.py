@@ -307,6 +307,15 @@ def test_measures_against_brute_force(spark, texts):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(inside) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
 
 
+def test_common_words_are_of_all_documents(make_docs):
+    r = random.Random(13)
+    words = [f"{a}{b}" for a in WORDS for b in ("", "s", "en")]
+    docs = [(i, " ".join(r.choice(words) for _ in range(6)), "en", "s") for i in range(6000)]
+    counts = Counter(w for d in docs for w in d[1].split())
+    want = {w.encode() for w in sorted(counts, key=lambda w: (-counts[w], w))[:divergence.COMMON]}
+    assert set(divergence.references(make_docs(docs))[0]) == want
+
+
 def test_divergence_tells_junk(spark):
     marks = {r["doc_id"]: r["quality"] for r in read(spark, "labels").collect()}
     rows = [r for r in divergence.op10(spark, SF).collect() if not r["base_failed"] and r["doc_id"] in marks]
