@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.llm import chat, decontaminate, divergence, langid, licenses, lm, mixing, neardup, toxicity, urlrules
+from codeloom.llm import ann, chat, decontaminate, divergence, langid, licenses, lm, mixing, neardup, ranked, toxicity, urlrules, veccodes
 
 QUERIES = {
     "op1_lm_scoring": lm.op1,
@@ -15,7 +15,13 @@ QUERIES = {
     "op8_toxicity": toxicity.op8,
     "op9_license_scan": licenses.op9,
     "op10_quality_divergence": divergence.op10,
+    "op11_nearest_vectors": ann.op11,
+    "op12_vector_codes": veccodes.op12,
+    "op13_ranked_search": ranked.op13,
 }
 ORACLES: dict[str, str] = {
     "op4_chat_formatting": chat.ORACLE,
+    "op11_nearest_vectors": ann.ORACLE,
+    "op12_vector_codes": veccodes.ORACLE,
+    "op13_ranked_search": ranked.ORACLE,
 }
