@@ -11,8 +11,8 @@ with more, points may be missed that lie further than the k-th nearest distance
 
 Defined results: vectors that are null, empty, zero or hold a null or a component that is not finite take no part, nor do
 rows without an id.  A vector shorter than the longest counts as followed by zeros.  Equal rows are one row; rows of one
-id with different vectors are different candidates and different queries, and no query finds a row with its own id.
-An empty table has no result.  Further columns are ignored, whatever their names.
+id with different vectors are different candidates and different queries; a query leaves out its own row only.  Equal
+products are ordered by id.  An empty table has no result.  Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,18 +44,10 @@ def usable(vector: Column) -> Column:
 
 
 def matrix(vectors: pa.Array, width: int) -> np.ndarray:
-    """Rows of doubles; shorter vectors are followed by zeros."""
+    """Rows of doubles, all of one length."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    lengths = np.asarray(vectors.value_lengths(), np.int64)
-    if len(lengths) and (lengths == width).all():
-        return np.ascontiguousarray(flat.reshape(-1, width))
-    out = np.zeros((len(lengths), width))
-    ends = np.cumsum(lengths)
-    for k, (n, end) in enumerate(zip(lengths, ends, strict=True)):
-        out[k, :n] = flat[end - n:end]
-    return out
+    return np.ascontiguousarray(vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
 
 
 class Router:
@@ -174,7 +166,7 @@ def _routed(router: Router, width: int) -> Callable:
 
 
 def _searched(top2: float, width: int, k: int, factor: float) -> Callable:
-    schema = pa.schema([("vkey", pa.binary()), ("vec_id", pa.int64()), ("score", pa.float64()), ("compared", pa.int64())])
+    schema = pa.schema([("vkey", pa.binary()), ("vec_id", pa.int64()), ("score", pa.float64()), ("same", pa.bool_()), ("compared", pa.int64())])
 
     def search(key: tuple[pa.Scalar, ...], trees: pa.Table, queries: pa.Table) -> pa.Table:
         if not len(trees) or not len(queries):
@@ -184,34 +176,36 @@ def _searched(top2: float, width: int, k: int, factor: float) -> Callable:
         first = ends - more["lengths"]
         found = Search(tree, matrix(queries.column("vector"), width), more["ids"][first], top2, k, factor, queries.column("bound").to_numpy())
         keys = queries.column("vkey").to_pylist()
-        out_key, out_id, out_score = [], [], []
-        for row, key_ in enumerate(keys):
+        out: list[tuple] = []
+        for row, own in enumerate(keys):
             have = found.point[row][found.score[row] > -np.inf]
-            entries = [(-s, i) for s, p in zip(found.score[row], have, strict=False) for i in more["ids"][first[p]:ends[p]].tolist()]
-            for s, i in sorted(entries)[:k]:
-                out_key.append(key_)
-                out_id.append(i)
-                out_score.append(-s)
-        return pa.table([pa.array(out_key, pa.binary()), pa.array(out_id, pa.int64()), pa.array(out_score, pa.float64()),
-                         pa.array([found.compared // len(keys)] * len(out_key), pa.int64())], schema=schema)
+            same = (tree.x[have] == found.q[row]).all(axis=1).tolist()
+            entries = [(-s, i, own, e) for s, p, e in zip(found.score[row], have, same, strict=False) for i in more["ids"][first[p]:ends[p]].tolist()]
+            out += sorted(entries)[:k]
+        score, ids, own, same = zip(*out, strict=True) if out else ((), (), (), ())
+        return pa.table([pa.array(own, pa.binary()), pa.array(ids, pa.int64()), pa.array([-s for s in score], pa.float64()),
+                         pa.array(same, pa.bool_()), pa.array([found.compared // len(keys)] * len(ids), pa.int64())], schema=schema)
     return search
 
 
 def search(embeddings: DataFrame, is_query: Column, k: int = NEAREST, factor: float = FACTOR, sample: int = SAMPLE, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` nearest found of every row that ``is_query`` (a condition on vec_id) holds for."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), usable(F.col("embedding")).alias("vector")).where("vector IS NOT NULL AND vec_id IS NOT NULL")
-    rows = cut(rows.withColumn("vkey", F.unhex(F.md5(F.col("vector").cast("string").cast("binary")))))
     most = rows.agg(F.max(F.size("vector")).alias("width"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("top2")).first()
     width, top2 = most["width"] or 0, (most["top2"] or 0.0) * (1 + 1e-12)
+    short = F.size("vector") < width
+    rows = rows.withColumn("vector", F.when(short, F.concat("vector", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("vector")))).otherwise(F.col("vector")))
+    rows = cut(rows.withColumn("vkey", F.unhex(F.md5(F.col("vector").cast("string").cast("binary")))))
     # one point for equal vectors: no more ids than can be among the nearest
     numbered = rows.select("vkey", "vec_id", "vector").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("vkey").orderBy("vec_id"))).where(F.col("nth") <= k + 1)
     points = cut(numbered.groupBy("vkey").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
     n = points.count()
+    if not n:
+        return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     drawn = points.select("vector").orderBy(F.xxhash64("vkey"), "vkey").limit(sample).toArrow().column("vector")
-    router = Router(matrix(drawn, width) if n else np.zeros((0, max(width, 1))), top2, -(-n // shard), k + 1, factor)
+    router = Router(matrix(drawn, width), top2, -(-n // shard), k + 1, factor)
 
-    dealt = points.mapInArrow(_dealt(router, width), "vkey binary, vector array<double>, ids array<long>, leaf long") if n else points.withColumn("leaf", F.lit(0).cast("long"))
-    dealt = cut(dealt)
+    dealt = cut(points.mapInArrow(_dealt(router, width), "vkey binary, vector array<double>, ids array<long>, leaf long"))
     sizes = cut(dealt.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("splits")))
     spans = dealt.mapInArrow(_spanned(router, width), "node long, low double, high double").groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     router.widen([tuple(r) for r in spans.collect()])  # a row for each node over the shards, bounded by LEVELS
@@ -227,11 +221,11 @@ def search(embeddings: DataFrame, is_query: Column, k: int = NEAREST, factor: fl
     facing = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     by = ["leaf", "split", "block"]
     found = cut(facing.groupBy(*by).cogroup(routed.select(*by, "vkey", "vector", "bound").groupBy(*by)).applyInArrow(
-        _searched(top2, width, k + 1, factor), "vkey binary, vec_id long, score double, compared long"))
+        _searched(top2, width, k + 1, factor), "vkey binary, vec_id long, score double, same boolean, compared long"))
     nearest = Window.partitionBy("vkey").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("nth", F.row_number().over(nearest)).where(F.col("nth") <= k + 1).drop("nth", "compared")
     own = Window.partitionBy("query_id", "vkey").orderBy(F.desc("score"), "vec_id")
-    out = asked.withColumnRenamed("vec_id", "query_id").join(best, "vkey").where(F.col("query_id") != F.col("vec_id"))
+    out = asked.withColumnRenamed("vec_id", "query_id").join(best, "vkey").where(~F.col("same") | (F.col("query_id") != F.col("vec_id")))
     return out.withColumn("rank", F.row_number().over(own).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -247,7 +241,7 @@ WITH v AS MATERIALIZED (
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND (q.vec_id <> c.vec_id OR q.e <> c.e)
 ), ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM pairs
 )
