@@ -1,24 +1,26 @@
 """Near-duplicates by Order MinHash with verification by banded alignment.
 
-Equal texts are one text from the start.  Every text gets sketches (``omh.sketches``): the smallest few 5-word k-mers
+Equal texts are one text from the start.  Every text gets sketches (``omh.sketches``: the smallest few 5-word k-mers
 under a random order, labelled with the number of their occurrence and kept in the order of the text, so that both
-content and order count.  Texts with an equal sketch share a bucket.
+content and order count); a text with repeated k-mers gets them once more from its different k-mers.  Texts with an
+equal sketch share a bucket.
 
-Candidates: in a bucket of up to ``SMALL`` texts, all pairs.  In a larger one all texts are paired with leaders: the
-text whose sketches are the most frequent (of copies with changes, that is the one they stem from), and about half
-the logarithm of the bucket's size of others, drawn by hash, others in each bucket.  The work so stays nearly linear
-in the size of a group of copies.  Texts of large buckets that the leaders leave in several classes (say, many that
-share a long template) then meet in an exact join: two texts of different classes are compared if they share one of
-the rarest k-mers that a pair of ``SIMILAR`` must share (prefix filter, for sequences with repeats and for sets).  So
-no class is cut by the size of a bucket.  Links inside a class that is already whole are not searched for: ``n_links``
-of a text in a large bucket is the number of links that were verified, not of all its links.
+Every bucket, whatever its size, goes the same way.  First all its texts are compared with its leader, the text whose
+sketches are the most frequent (of copies with changes, that is the one they stem from): as many pairs as texts.  Texts
+of buckets that are then still in several classes meet in an exact join: two texts of different classes are compared if
+they share one of the rarest k-mers that a pair of ``SIMILAR`` must share (prefix filter, for sequences with repeats and
+for sets).  Of two classes that meet, one pair is compared first; while that joins classes, it is done again, and only
+classes that are still apart then have all their pairs compared that pass the filter.  So no class is cut, and a large
+class never meets itself.
 
 A pair is a link where the banded alignment of the k-mer sequences, or the exact overlap of the k-mer sets, reaches
 ``SIMILAR``.  Classes are the connected components of the links, found by label propagation on tables.
 
 Defined results: words are lower-case (A-Z) runs of non-space bytes; null texts count as empty, and texts without
-words only equal texts that are the same; texts under five words are one k-mer.  Null ids are kept: a class of rows
-without any id has a null class_id.  Repeated rows are equal texts.
+words only equal texts that are the same; texts under five words are one k-mer; long texts are taken whole.  Null ids
+are kept: a class of rows without any id has a null class_id.  Repeated rows are equal texts; each counts in
+``class_size``.  Without documents there is no row.  Further columns are ignored by the search and kept by ``keep_one``,
+whatever their names; of a class it keeps the smallest id (of equal ids the smallest text key).
 """
 
 from __future__ import annotations
@@ -33,47 +35,55 @@ from codeloom.llm.common import cut, named, slim, spare, text_key, texts_of
 from codeloom.session import release
 
 SIMILAR = 0.8
-SMALL = 32
+#: Turns of one pair for every two classes that meet; what they leave apart is compared in full.
+TURNS = 4
 
 
 def _sketched(batches):
-    """(key, doc_id, n, sketches) of each row; n is the number of k-mers."""
+    """(key, doc_id, n, kinds, sketches) of each row: the number of k-mers, and of different ones."""
     for batch in batches:
-        n, all_sketches = [], []
+        n, kinds, all_sketches = [], [], []
         for _, texts in texts_of(batch):
             for t in texts:
-                words = t.lower().split()
-                n.append(max(1, len(words) - omh.K + 1) if words else 0)
-                all_sketches.append(omh.sketches(words))
+                grams = omh.kmers(t.lower().split())
+                _, first = np.unique(grams, return_index=True)
+                n.append(len(grams))
+                kinds.append(len(first))
+                own = omh.sketches(grams)
+                if len(first) < len(grams):  # once more without repeats, for links of the sets
+                    own += [y if x != y else None for x, y in zip(own, omh.sketches(grams[np.sort(first)]), strict=True)]
+                all_sketches.append(own)
         yield pa.RecordBatch.from_arrays([
-            batch.column("key"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(all_sketches, pa.list_(pa.int64()))],
-            ["key", "doc_id", "n", "sketches"])
+            batch.column("key"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(kinds, pa.int64()), pa.array(all_sketches, pa.list_(pa.int64()))],
+            ["key", "doc_id", "n", "kinds", "sketches"])
 
 
 def sketch_rows(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = slim(docs, "doc_id", "text").withColumn("key", text_key())
-    return cut(rows.mapInArrow(_sketched, f"key binary, doc_id {kind}, n long, sketches array<long>"))
+    return cut(rows.mapInArrow(_sketched, f"key binary, doc_id {kind}, n long, kinds long, sketches array<long>"))
 
 
 def bucketed(texts: DataFrame) -> DataFrame:
-    """Members of the buckets of several texts (key, n, sketches): key, n, bucket, size."""
-    rows = texts.select("key", "n", F.posexplode("sketches").alias("i", "value")).select("key", "n", F.xxhash64("i", "value").alias("bucket"))
+    """Members of the buckets of several texts: key, n, kinds, bucket, size."""
+    rows = texts.select("key", "n", "kinds", F.posexplode("sketches").alias("i", "value")).where("value IS NOT NULL").select(
+        "key", "n", "kinds", F.xxhash64(F.col("i") % omh.SKETCHES, "value").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     return cut(rows.join(sizes, "bucket"))
 
 
 def candidates(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of members of a bucket that are worth a comparison."""
+    """Distinct pairs (a, b), a < b, of a member and the leader of its bucket that are near enough in length."""
     popular = members.groupBy("key").agg(F.sum("size").alias("popularity"))
-    large = members.where(F.col("size") > SMALL)
-    hubs = large.join(popular, "key").groupBy("bucket").agg(F.max(F.struct("popularity", "key")).alias("top")).select("bucket", F.col("top.key").alias("leader"))
-    drawn = F.pmod(F.xxhash64("key", "bucket"), F.lit(1 << 40)) / F.lit(float(1 << 40)) < F.log2("size") / F.col("size") / 2
-    leaders = members.where((F.col("size") <= SMALL) | drawn).select("bucket", F.col("key").alias("leader")).union(hubs)
-    n_of = members.select(F.col("key").alias("leader"), F.col("n").alias("leader_n")).distinct()
-    leaders = leaders.join(n_of, "leader")
-    near = F.least("n", "leader_n") >= SIMILAR * F.greatest("n", "leader_n")
-    pairs = members.join(leaders, "bucket").where(near & F.when(F.col("size") <= SMALL, F.col("leader") < F.col("key")).otherwise(F.col("leader") != F.col("key")))
+    top = F.max(F.struct("popularity", "key", "n", "kinds")).alias("top")
+    leaders = members.join(popular, "key").groupBy("bucket").agg(top).select(
+        "bucket", F.col("top.key").alias("leader"), F.col("top.n").alias("leader_n"), F.col("top.kinds").alias("leader_kinds"))
+
+    def near(x: str, y: str) -> Column:
+        return F.least(x, y) >= SIMILAR * F.greatest(x, y)
+
+    # a link is one of the sequences or one of the sets
+    pairs = members.join(leaders, "bucket").where((F.col("leader") != F.col("key")) & (near("n", "leader_n") | near("kinds", "leader_kinds")))
     return pairs.select(F.least("leader", "key").alias("a"), F.greatest("leader", "key").alias("b")).distinct()
 
 
@@ -101,45 +111,71 @@ def _needed(n: Column, share: float) -> Column:
     return F.ceil(n * share - 1e-9)
 
 
-def rare_pairs(texts: DataFrame, roots: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of texts (key, text) of different classes (key, root); none of ``SIMILAR`` is left out.
+PAIR_SHARE = 2 * SIMILAR / (1 + SIMILAR)
+
 
-    In one order of all k-mers, rarest first, two texts of n <= m k-mers with enough in common (c of them) have their
-    first common one among the first n - c + 1 and m - c + 1.  Tokens first pair classes and then their members, so
-    that a large class does not meet itself.
+def rare_rows(texts: DataFrame) -> DataFrame:
+    """(sets, gram, key, n, place): the k-mers by which texts (key, text) can meet, in one order of all, rarest first.
+
+    Two texts of n <= m k-mers with enough in common (c of them) have their first common one among the first n - c + 1
+    and m - c + 1.
     """
     grams = texts.mapInArrow(_gram_rows, "key binary, sets int, n long, grams array<long>").select("key", "sets", "n", F.explode("grams").alias("gram"))
     df = grams.groupBy("sets", "gram").agg(F.count(F.lit(1)).alias("df"))
     place = F.row_number().over(Window.partitionBy("sets", "key").orderBy("df", "gram"))
-    pair_share = 2 * SIMILAR / (1 + SIMILAR)
     ranked = grams.join(df, ["sets", "gram"]).withColumn("place", place).where((F.col("df") > 1) & (F.col("place") <= F.col("n") - _needed(F.col("n"), SIMILAR) + 1))
-    rows = cut(ranked.join(roots, "key").select("sets", "gram", "root", "key", "n", "place"))
+    return cut(ranked.select("sets", "gram", "key", "n", "place"))
+
+
+def _near(least_a: str, most_a: str, place_a: str, least_b: str, most_b: str, place_b: str) -> Column:
+    """Whether texts of so many k-mers can be similar whose first common one stands at these places."""
+    la, ma, lb, mb = (F.col(c) for c in (least_a, most_a, least_b, most_b))
+    half = PAIR_SHARE / 2
+    return ((la <= mb) & (ma >= _needed(lb, SIMILAR)) & (F.col(place_a) <= ma * (1 - half) - lb * half + 1 + 1e-9)
+            & (F.col(place_b) <= mb * (1 - half) - la * half + 1 + 1e-9))
+
+
+def _meetings(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes that meet at a k-mer, with a member of each; and the rows of shorter and of longer texts with their class."""
+    held = rows.join(roots, "key")
     # of a pair, the shorter text (of equal ones the smaller key) has fewer places
-    short = rows.where(F.col("place") <= F.col("n") - _needed(F.col("n"), pair_share) + 1)
+    short = held.where(F.col("place") <= F.col("n") - _needed(F.col("n"), PAIR_SHARE) + 1)
 
     def groups(side: DataFrame, name: str) -> DataFrame:
         return side.groupBy("sets", "gram", F.col("root").alias(f"root_{name}")).agg(
-            F.min("n").alias(f"least_{name}"), F.max("n").alias(f"most_{name}"), F.min("place").alias(f"first_{name}"))
+            F.min("n").alias(f"least_{name}"), F.max("n").alias(f"most_{name}"), F.min("place").alias(f"first_{name}"), F.min(F.struct("place", "key")).alias(f"pick_{name}"))
+
+    met = groups(short, "a").join(groups(held, "b"), ["sets", "gram"]).where(
+        (F.col("root_a") != F.col("root_b")) & _near("least_a", "most_a", "first_a", "least_b", "most_b", "first_b"))
+    return met, short, held
+
+
+def witnesses(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """One pair (a, b), a < b, for every two classes that meet: where the shared k-mer stands first."""
+    met, _, _ = _meetings(rows, roots)
+    a, b = F.col("pick_a.key"), F.col("pick_b.key")
+    first = F.min(F.struct((F.col("first_a") + F.col("first_b")).alias("at"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))).alias("w")
+    return met.groupBy(F.least("root_a", "root_b").alias("r"), F.greatest("root_a", "root_b").alias("s")).agg(first).select("w.a", "w.b").distinct()
 
-    def near(least_a: str, most_a: str, place_a: str, least_b: str, most_b: str, place_b: str) -> Column:
-        la, ma, lb, mb = (F.col(c) for c in (least_a, most_a, least_b, most_b))
-        half = pair_share / 2
-        return ((la <= mb) & (ma >= _needed(lb, SIMILAR)) & (F.col(place_a) <= ma * (1 - half) - lb * half + 1 + 1e-9)
-                & (F.col(place_b) <= mb * (1 - half) - la * half + 1 + 1e-9))
 
-    met = groups(short, "a").join(groups(rows, "b"), ["sets", "gram"]).where(
-        (F.col("root_a") != F.col("root_b")) & near("least_a", "most_a", "first_a", "least_b", "most_b", "first_b")).select("sets", "gram", "root_a", "root_b")
-    sides = [side.select("sets", "gram", *[F.col(c).alias(f"{c}_{name}") for c in ("root", "key", "n", "place")]) for side, name in ((short, "a"), (rows, "b"))]
+def rare_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of texts of different classes (key, root); none of ``SIMILAR`` is left out.
+
+    Tokens first pair classes and then their members, so that a large class does not meet itself.
+    """
+    met, short, held = _meetings(rows, roots)
+    met = met.select("sets", "gram", "root_a", "root_b")
+    sides = [side.select("sets", "gram", *[F.col(c).alias(f"{c}_{name}") for c in ("root", "key", "n", "place")]) for side, name in ((short, "a"), (held, "b"))]
     both = met.join(sides[0], ["sets", "gram", "root_a"]).join(sides[1], ["sets", "gram", "root_b"])
-    both = both.where(near("n_a", "n_a", "place_a", "n_b", "n_b", "place_b") & ((F.col("n_a") < F.col("n_b")) | (F.col("key_a") < F.col("key_b"))))
+    both = both.where(_near("n_a", "n_a", "place_a", "n_b", "n_b", "place_b") & ((F.col("n_a") < F.col("n_b")) | (F.col("key_a") < F.col("key_b"))))
     return both.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
 
 
 def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, root) of the texts of large buckets whose members are in several classes."""
-    large = members.where(F.col("size") > SMALL).select("bucket", "key").join(roots, "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-    open_ = large.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where(F.col("least") != F.col("most"))
-    return cut(large.join(open_, "bucket", "left_semi").select("key", "root").distinct())
+    """Keys of the texts of buckets whose members are in several classes (a bucket of two texts was compared in full)."""
+    own = members.where("size > 2").select("bucket", "key").join(roots, "key")
+    open_ = own.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where(F.col("least") != F.col("most"))
+    return cut(own.join(open_, "bucket", "left_semi").select("key").distinct())
 
 
 def _verified(batches):
@@ -162,9 +198,8 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return cut(texts.select("key", F.coalesce("text", F.lit("")).alias("text")))
 
 
-def links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that are similar enough: (a, b, similarity)."""
-    texts = _texts(docs, pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
+def links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of texts (key, text) that are similar enough: (a, b, similarity)."""
     both = (pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b"))
     return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a binary, b binary, similarity double"))
@@ -191,31 +226,42 @@ def components(linked: DataFrame) -> DataFrame:
             return labels
 
 
+def merged(roots: DataFrame, linked: DataFrame) -> DataFrame:
+    """(key, root) with the classes joined that the links lead between; only classes take part, not their members."""
+    ends = linked.select("a", "b").join(roots.select(F.col("key").alias("a"), F.col("root").alias("x")), "a").join(roots.select(F.col("key").alias("b"), F.col("root").alias("y")), "b")
+    between = ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    further = components(between).select(F.col("key").alias("root"), F.col("root").alias("to"))
+    return cut(roots.join(further, "root", "left").select("key", F.coalesce("to", "root").alias("root")))
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (key, doc_id) of the documents, and texts (key, root, n_links, class_id, kept_id, kept_key)."""
+    """Rows (key, doc_id) of the documents, and texts (key, root, class_id, kept_key, class_size)."""
     rows = sketch_rows(docs)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
-    texts = cut(rows.groupBy("key").agg(first, F.max("n").alias("n"), F.max("sketches").alias("sketches")))
+    texts = cut(rows.groupBy("key").agg(first, F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("kinds").alias("kinds"), F.max("sketches").alias("sketches")))
     members = bucketed(texts)
-    linked = links(docs, cut(candidates(members)))
-    roots = components(linked)
+    roots = cut(members.select("key").distinct().withColumn("root", F.col("key")))
+    bodies = _texts(docs, roots)
+    roots = merged(roots, links(bodies, cut(candidates(members))))
     rest = unsettled(members, roots)
     if rest.limit(1).count():
-        linked = linked.union(links(docs, cut(rare_pairs(_texts(docs, rest), rest))))
-        roots = components(linked)
-    degree = linked.select(F.col("a").alias("key")).union(linked.select(F.col("b").alias("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n_links"))
-    own = texts.select("key", "first").join(roots, "key", "left").join(degree, "key", "left").select(
-        "key", F.coalesce("root", "key").alias("root"), "first", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    own = cut(own)
-    best = own.groupBy("root").agg(F.min(F.struct("first.none", "first.doc_id", "key")).alias("best"))
+        rare = rare_rows(bodies.join(rest, "key", "left_semi"))
+        for _ in range(TURNS):
+            found = links(bodies, cut(witnesses(rare, roots)))
+            if not found.limit(1).count():
+                break
+            roots = merged(roots, found)
+        roots = merged(roots, links(bodies, cut(rare_pairs(rare, roots))))
+    own = cut(texts.select("key", "first", "copies").join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "first", "copies"))
+    best = own.groupBy("root").agg(F.min(F.struct("first.none", "first.doc_id", "key")).alias("best"), F.sum("copies").alias("class_size"))
     return rows.select("key", "doc_id"), own.join(best, "root").select(
-        "key", "root", "n_links", F.col("best.doc_id").alias("class_id"), F.col("best.key").alias("kept_key"))
+        "key", "root", F.col("best.doc_id").alias("class_id"), F.col("best.key").alias("kept_key"), "class_size")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest doc_id of the class) and the number of links of its text."""
+    """One row per document: doc_id, class_id (smallest doc_id of the class) and class_size (documents of the class)."""
     rows, texts = classes(docs)
-    return rows.join(texts.select("key", "class_id", "n_links"), "key").select("doc_id", "class_id", "n_links")
+    return rows.join(texts.select("key", "class_id", "class_size"), "key").select("doc_id", "class_id", "class_size")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -60,11 +60,11 @@ def _ranks(grams: np.ndarray, seed: np.uint64) -> np.ndarray:
     return r * _ODD
 
 
-def sketches(words: list[bytes]) -> list[int]:
-    """SKETCHES numbers, each out of the TOGETHER smallest labelled k-mers in the order of the text; none for no words."""
-    if not words:
+def sketches(grams: np.ndarray) -> list[int]:
+    """SKETCHES numbers, each out of the TOGETHER smallest labelled k-mers in the order of the text; none for no k-mers."""
+    if not len(grams):
         return []
-    grams = labelled(kmers(words))
+    grams = labelled(grams)
     n, t = len(grams), min(TOGETHER, len(grams))
     if n <= t:
         at = np.broadcast_to(np.arange(n), (SKETCHES, n))
