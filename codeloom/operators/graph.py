@@ -7,10 +7,13 @@ node, and send one pre-aggregated message per (task, target) and step.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.exprs import label, last_seg
+from codeloom.operators.contract import back, contract, heights, rooted
 from codeloom.operators.skew import hot_keys, lookup_join, numbered, spread
 from codeloom.session import cut, lay_out, release
 
@@ -163,10 +166,13 @@ def pagerank_history(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, ma
 # --- strongly connected components ------------------------------------------
 
 def _spread_labels(edges: DataFrame, labels: DataFrame, gain: Column, value: str,
-                   lanes: list[str]) -> DataFrame:
+                   lanes: list[str], number: Callable[[str], Column] | None = None) -> DataFrame:
     """Push ``value`` along ``edges(*lanes, a, b, ...)`` until nothing changes.
 
-    ``lanes`` are columns that keep independent searches apart.
+    ``lanes`` are columns that keep independent searches apart.  Where a value
+    is the ``number`` of a node it came from, a node also takes over what that
+    node has heard in the meantime; with random numbers the way a value has
+    come so grows by a factor from cut to cut.
 
     The edges are laid out once by start node; a node with very many edges is
     split into parts, and its value is repeated for each of them.
@@ -192,6 +198,9 @@ def _spread_labels(edges: DataFrame, labels: DataFrame, gain: Column, value: str
     total = labels.agg(F.sum(F.col(value).cast("decimal(38,0)"))).first()[0]
     last: DataFrame | None = None
     while True:
+        if number is not None and last is not None:
+            beyond = last.select(*lanes, number("a").alias(value), F.col(value).alias("_beyond"))
+            labels = labels.join(beyond, [*lanes, value]).select(*lanes, "a", F.greatest(value, "_beyond").alias(value))
         for _ in range(STEPS_PER_CUT):
             labels = (
                 edges.join(sent(labels), key)
@@ -211,55 +220,49 @@ def _spread_labels(edges: DataFrame, labels: DataFrame, gain: Column, value: str
 def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Strongly connected components; ``scc_id`` is the smallest member id.
 
-    Per round every node learns the largest node that reaches it and the
-    largest it reaches.  Where both agree the node belongs to that node's
-    component; edges between nodes that disagree cannot be inside a component
-    and are dropped.  Nodes without an incoming or outgoing edge are set aside
-    first, they are components of their own.
+    Chains are contracted first, and nodes on no cycle go away with them.  In
+    what is left every node learns the largest node (by random numbers) that
+    reaches it and the largest it reaches.  Where both agree the node belongs
+    to that node's component; edges between nodes that disagree cannot be
+    inside a component and are dropped, and the rest goes round again.
     """
     all_nodes, links = build_graph(nodes, edges)
     numbers, pairs = _encode(all_nodes, links)
-    pairs = cut(pairs.where("a <> b").distinct())
-    owners: DataFrame | None = None  # (n, root)
-
-    def note(found: DataFrame) -> None:
-        nonlocal owners
-        owners = found if owners is None else owners.unionByName(found)
-
-    left = pairs.count()
-    while left:
-        # an edge into a node without outgoing edges (or out of one without incoming) is on no cycle
-        for _ in range(STEPS_PER_CUT):
-            inner = pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
-            pairs = pairs.join(inner, "a", "left_semi").join(inner.withColumnRenamed("a", "b"), "b", "left_semi")
-            pairs = cut(pairs.select("a", "b"))
-            size = pairs.count()
-            stalled, left = size == left, size
-            if stalled or not left:
-                break
-        if not left:
+    pairs = cut(pairs.where("a <> b").distinct().withColumn("w", F.lit(0).cast("long")))
+    rounds: list[tuple[DataFrame | None, list[DataFrame]]] = []  # components found, turns of the contraction before
+    while True:
+        pairs, turns = contract(pairs)
+        if not pairs.take(1):
+            rounds.append((None, turns))
             break
         ends = pairs.select(F.explode(F.array("a", "b")).alias("a")).distinct()
         both = F.explode(F.array(F.lit(0), F.lit(1))).alias("dir")
         loops = ends.select(both, "a", F.col("a").alias("b"))
         ways = pairs.select(F.lit(0).alias("dir"), "a", "b").unionByName(
             pairs.select(F.lit(1).alias("dir"), F.col("b").alias("a"), F.col("a").alias("b")))
-        labels = _spread_labels(ways.unionByName(loops), ends.select(both, "a", F.col("a").alias("top")), F.col("top"), "top", ["dir"])
+        labels = _spread_labels(ways.unionByName(loops), ends.select(both, "a", _own_root("a").alias("top")), F.col("top"), "top", ["dir"], _own_root)
         pair = cut(labels.groupBy("a").agg(
             F.max(F.when(F.col("dir") == 0, F.col("top"))).alias("_f"),
             F.max(F.when(F.col("dir") == 1, F.col("top"))).alias("_b")))
-        note(pair.where("_f = _b").select(F.col("a").alias("n"), F.col("_f").alias("root")))
+        rounds.append((pair.where("_f = _b").select(F.col("a").alias("n"), F.col("_f").alias("root")), turns))
         open_ = pair.where("_f <> _b")
         pairs = cut(
             pairs.join(open_, "a")
             .join(open_.select(F.col("a").alias("b"), F.col("_f").alias("_f2"), F.col("_b").alias("_b2")), "b")
-            .where("_f = _f2 AND _b = _b2").select("a", "b"))
-        left = pairs.count()
+            .where("_f = _f2 AND _b = _b2").select("a", "b", "w"))
+    owners = nodes.sparkSession.createDataFrame([], "n long, root long")
+    for found, turns in reversed(rounds):
+        if found is not None:
+            owners = cut(owners.unionByName(found))
+        owners = back(owners, turns, lambda roots, laid: rooted(roots, laid, _own_root))
+    given = numbers.join(owners, "n", "left").withColumn("root", F.coalesce("root", _own_root("n")))
+    names = given.groupBy("root").agg(F.min("id").alias("scc_id"))
+    return given.join(names, "root").select("repo_id", "id", "scc_id")
+
 
-    rooted = numbers.withColumn("root", F.col("n")) if owners is None else (
-        numbers.join(owners, "n", "left").withColumn("root", F.coalesce("root", "n")))
-    names = rooted.groupBy("root").agg(F.min("id").alias("scc_id"))
-    return rooted.join(names, "root").select("repo_id", "id", "scc_id")
+def _own_root(n: str) -> Column:
+    """A random number for a node, different for different nodes: the hash of one whole number can be undone."""
+    return F.xxhash64(F.col(n))
 
 
 def condense(components: DataFrame, edges: DataFrame) -> DataFrame:
@@ -279,12 +282,20 @@ def levels(nodes: DataFrame, edges: DataFrame, components: DataFrame | None = No
     groups = members.select("repo_id", F.col("scc_id").alias("id")).distinct()
     numbers, pairs = _encode(groups, contracted.select(
         "repo_id", F.col("dst_scc").alias("source"), F.col("src_scc").alias("target")))
-    steps = pairs.select("a", "b", F.lit(1).alias("w")).unionByName(
-        numbers.select(F.col("n").alias("a"), F.col("n").alias("b"), F.lit(0).alias("w")))
-    start = numbers.select(F.col("n").alias("a"), F.lit(0).alias("level"))
-    depth = _spread_labels(steps, start, F.col("level") + F.col("w"), "level", [])
-    leveled = numbers.join(depth.select(F.col("a").alias("n"), "level"), "n").select(
-        "repo_id", F.col("id").alias("scc_id"), F.col("level").cast("long"))
+    pairs = cut(pairs.distinct())
+    # one more node for each repository leads to all that depend on nothing
+    top = cut(numbers.groupBy("repo_id").agg((F.lit(-1) - F.min("n")).alias("a")))
+    first = numbers.join(pairs.select(F.col("b").alias("n")), "n", "left_anti").join(top, "repo_id").select("a", F.col("n").alias("b"), F.lit(0).alias("w"))
+    left, turns = contract(pairs.select("a", "b", F.lit(1).alias("w")).unionByName(first), sources_stay=True)
+    found = top.select(F.col("a").alias("n"), F.lit(0).cast("long").alias("level"))
+    if left.take(1):
+        ends = cut(left.select(F.explode(F.array("a", "b")).alias("a")).distinct())
+        zero = F.lit(0).cast("long")
+        steps = left.unionByName(ends.select("a", F.col("a").alias("b"), zero.alias("w")))
+        depth = _spread_labels(steps, ends.select("a", zero.alias("level")), F.col("level") + F.col("w"), "level", [])
+        found = found.join(ends.withColumnRenamed("a", "n"), "n", "left_anti").unionByName(depth.select(F.col("a").alias("n"), "level"))
+    depth = back(found, turns, heights)
+    leveled = numbers.join(depth, "n").select("repo_id", F.col("id").alias("scc_id"), "level")
     return members.join(leveled, ["repo_id", "scc_id"]).select("repo_id", "id", "scc_id", "level")
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.operators import contract as C
 from codeloom.operators import graph as G
 from codeloom.operators import resolve as R
 from codeloom.operators import skew as K
@@ -146,3 +147,48 @@ def test_collapse_init_and_restrict(spark):
         "repo_id", "relative_path", F.lit("m.f.run").alias("id"), "component_type")
     raw = spark.createDataFrame([("r", "m/f.run", "m/g.x"), ("r", "m.f.run", "no")], "repo_id string, caller_key string, callee string")
     assert [r.raw_callee for r in R.match_callers(graph, raw).collect()] == ["m/g.x"]
+
+
+def random_dag(seed, n, m):
+    rnd = random.Random(seed)
+    ns = [f"d{i:03d}" for i in range(n)]
+    return ns, {tuple(sorted(rnd.sample(ns, 2))) for _ in range(m)}
+
+
+def test_components_and_levels_of_many_shapes(spark, monkeypatch):
+    """Cycles, chains into and out of cycles, trees, sparse and dense graphs; contraction to the end and not at all."""
+    cycle = lambda p, n: {(f"{p}{i}", f"{p}{(i + 1) % n}") for i in range(n)}
+    tail = {(f"t{i}", f"t{i + 1}") for i in range(9)} | {("t9", "c0"), ("c3", "u0")} | {(f"u{i}", f"u{i + 1}") for i in range(9)}
+    two = cycle("p", 6) | cycle("q", 5) | {("p1", "q2"), ("p4", "q0"), ("q1", "x"), ("x", "q3"), ("z", "z"), ("p2", "y"), ("y", "q4")}
+    shapes = {"two": two, "tails": cycle("c", 7) | tail, "pair": {("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c")},
+              "tree": {(f"k{i}", f"k{i // 2}") for i in range(1, 40)}, "back": {(f"k{i // 2}", f"k{i}") for i in range(1, 40)}}
+    graphs = {k: (sorted({x for e in es for x in e} | {"alone"}), es) for k, es in shapes.items()}
+    graphs |= {f"r{s}": random_graph(s, 30, 15 * s) for s in (2, 3, 4)} | {f"d{s}": random_dag(s, 60, 40 * s) for s in (1, 2)}
+    nodes, edges = tables(spark, graphs)
+    for gain in (1, 10**9):
+        monkeypatch.setattr(G, "contract", lambda pairs, sources_stay=False: C.contract(pairs, sources_stay, gain))  # noqa: B023
+        got = {(r.repo_id, r.id): (r.scc_id, r.level) for r in G.levels(nodes, edges).collect()}
+        for repo, (ns, es) in graphs.items():
+            want = components_of(ns, es)
+            assert {n: got[repo, n][0] for n in ns} == want, repo
+            level = dict.fromkeys(want.values(), 0)
+            for _ in level:
+                for a, b in es:
+                    if want[a] != want[b]:
+                        level[want[a]] = max(level[want[a]], level[want[b]] + 1)
+            assert {n: got[repo, n][1] for n in ns} == {n: level[want[n]] for n in ns}, repo
+
+
+def test_long_cycles_and_chains_take_few_rounds(spark, monkeypatch):
+    n, rounds = 100_000, []
+    monkeypatch.setattr(C, "_turn", lambda *a, f=C._turn: (rounds.append("turn"), f(*a))[1])
+    monkeypatch.setattr(G, "cut", lambda df, f=G.cut: (rounds.append("cut"), f(df))[1])
+    ids = spark.range(n).selectExpr("'r' AS repo_id", "concat('n', id) AS id")
+    ring = spark.range(n).selectExpr("'r' AS repo_id", "concat('n', id) AS src", f"concat('n', (id + 1) % {n}) AS dst")
+    assert G.scc(ids, ring).select("scc_id").distinct().count() == 1
+    assert rounds.count("turn") <= 25 and len(rounds) <= 40, rounds
+    chain = ring.where(f"src <> 'n{n - 1}'")
+    alone = ids.withColumn("scc_id", F.col("id"))
+    rounds.clear()
+    got = G.levels(ids, chain, alone).select((F.col("level") + F.substring("id", 2, 9).cast("long")).alias("sum")).distinct().collect()
+    assert [r[0] for r in got] == [n - 1] and rounds.count("turn") <= 25
