@@ -9,7 +9,7 @@ Every bucket, whatever its size, goes the same way.  First all its texts are com
 sketches are the most frequent (of copies with changes, that is the one they stem from): as many pairs as texts.  Texts
 of buckets that are then still in several classes meet in an exact join: two texts of different classes are compared if
 they share one of the rarest k-mers that a pair of ``SIMILAR`` must share (prefix filter, for sequences with repeats and
-for sets).  Of two classes that meet, one pair is compared first; while that joins classes, it is done again, and only
+for sets, in one order).  Of two classes that meet, one pair is compared first; while that joins classes, it is done again, and only
 classes that are still apart then have all their pairs compared that pass the filter.  So no class is cut, and a large
 class never meets itself.
 
@@ -36,7 +36,7 @@ from codeloom.session import release
 
 SIMILAR = 0.8
 #: Turns of one pair for every two classes that meet; what they leave apart is compared in full.
-TURNS = 4
+TURNS = 2
 
 
 def _sketched(batches):
@@ -88,22 +88,24 @@ def candidates(members: DataFrame) -> DataFrame:
 
 
 def _gram_rows(batches):
-    """Two rows of each text: its labelled k-mers (sets 0), and its distinct ones (sets 1)."""
+    """A row of each text: its labelled k-mers, the different ones first; ``kinds`` of these."""
     for batch in batches:
         keys = batch.column("key").to_pylist()
         for at, texts in texts_of(batch, size=100):
-            key, sets, n, all_grams = [], [], [], []
+            key, n, kinds, all_grams = [], [], [], []
             for k, t in enumerate(texts):
                 grams = omh.kmers(t.lower().split())
                 if len(grams):
-                    for kind, own in enumerate((omh.labelled(grams), np.unique(grams))):
-                        key.append(keys[at + k])
-                        sets.append(kind)
-                        n.append(len(own))
-                        all_grams.append(own.view(np.int64))
+                    different = np.unique(grams)
+                    more = omh.labelled(grams)
+                    more = more[~np.isin(more, different)] if len(different) < len(grams) else more[:0]
+                    key.append(keys[at + k])
+                    n.append(len(grams))
+                    kinds.append(len(different))
+                    all_grams.append(np.concatenate([different, more]).view(np.int64))
             yield pa.RecordBatch.from_arrays([
-                pa.array(key, pa.binary()), pa.array(sets, pa.int32()), pa.array(n, pa.int64()), pa.array(all_grams, pa.list_(pa.int64()))],
-                ["key", "sets", "n", "grams"])
+                pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(kinds, pa.int64()), pa.array(all_grams, pa.list_(pa.int64()))],
+                ["key", "n", "kinds", "grams"])
 
 
 def _needed(n: Column, share: float) -> Column:
@@ -115,38 +117,52 @@ PAIR_SHARE = 2 * SIMILAR / (1 + SIMILAR)
 
 
 def rare_rows(texts: DataFrame) -> DataFrame:
-    """(sets, gram, key, n, place): the k-mers by which texts (key, text) can meet, in one order of all, rarest first.
+    """(gram, key, n, place, kinds, rank): the k-mers by which texts (key, text) can meet, in one order of all, rarest first.
 
-    Two texts of n <= m k-mers with enough in common (c of them) have their first common one among the first n - c + 1
-    and m - c + 1.
+    ``n`` and ``place`` are of the sequence with its repeats, ``kinds`` and ``rank`` of the set (null for a repeat).  Two
+    texts of n <= m k-mers with enough in common (c of them) have their first common one among the first n - c + 1 and
+    m - c + 1, of sequences and of sets alike.
     """
-    grams = texts.mapInArrow(_gram_rows, "key binary, sets int, n long, grams array<long>").select("key", "sets", "n", F.explode("grams").alias("gram"))
-    df = grams.groupBy("sets", "gram").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(Window.partitionBy("sets", "key").orderBy("df", "gram"))
-    ranked = grams.join(df, ["sets", "gram"]).withColumn("place", place).where((F.col("df") > 1) & (F.col("place") <= F.col("n") - _needed(F.col("n"), SIMILAR) + 1))
-    return cut(ranked.select("sets", "gram", "key", "n", "place"))
+    grams = texts.mapInArrow(_gram_rows, "key binary, n long, kinds long, grams array<long>").select(
+        "key", "n", "kinds", F.posexplode("grams").alias("i", "gram"))
+    df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    order = Window.partitionBy("key").orderBy("df", "gram")
+    # k-mers of one text only come first in every order and never meet another text: their number is all that counts
+    held = grams.join(df, "gram").select("key", "n", "kinds", "gram", "df", (F.col("i") < F.col("kinds")).alias("first"))
+    sizes = Window.partitionBy("key")
+    held = held.withColumn("place", F.row_number().over(order) + F.col("n") - F.count(F.lit(1)).over(sizes))
+    held = held.withColumn("rank", F.when(F.col("first"), F.count_if(F.col("first")).over(order) + F.col("kinds") - F.count_if(F.col("first")).over(sizes)))
+    return cut(held.where(_within("n", "place", SIMILAR) | _within("kinds", "rank", SIMILAR)).select("gram", "key", "n", "place", "kinds", "rank"))
+
+
+def _within(n: str, place: str, share: float) -> Column:
+    return F.coalesce(F.col(place) <= F.col(n) - _needed(F.col(n), share) + 1, F.lit(False))
 
 
 def _near(least_a: str, most_a: str, place_a: str, least_b: str, most_b: str, place_b: str) -> Column:
     """Whether texts of so many k-mers can be similar whose first common one stands at these places."""
     la, ma, lb, mb = (F.col(c) for c in (least_a, most_a, least_b, most_b))
     half = PAIR_SHARE / 2
-    return ((la <= mb) & (ma >= _needed(lb, SIMILAR)) & (F.col(place_a) <= ma * (1 - half) - lb * half + 1 + 1e-9)
-            & (F.col(place_b) <= mb * (1 - half) - la * half + 1 + 1e-9))
+    return F.coalesce((la <= mb) & (ma >= _needed(lb, SIMILAR)) & (F.col(place_a) <= ma * (1 - half) - lb * half + 1 + 1e-9)
+                      & (F.col(place_b) <= mb * (1 - half) - la * half + 1 + 1e-9), F.lit(False))
+
+
+#: The sequence's and the set's columns of size and place.
+VIEWS = (("n", "place"), ("kinds", "rank"))
 
 
 def _meetings(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes that meet at a k-mer, with a member of each; and the rows of shorter and of longer texts with their class."""
     held = rows.join(roots, "key")
     # of a pair, the shorter text (of equal ones the smaller key) has fewer places
-    short = held.where(F.col("place") <= F.col("n") - _needed(F.col("n"), PAIR_SHARE) + 1)
+    short = held.where(_within("n", "place", PAIR_SHARE) | _within("kinds", "rank", PAIR_SHARE))
 
     def groups(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy("sets", "gram", F.col("root").alias(f"root_{name}")).agg(
-            F.min("n").alias(f"least_{name}"), F.max("n").alias(f"most_{name}"), F.min("place").alias(f"first_{name}"), F.min(F.struct("place", "key")).alias(f"pick_{name}"))
+        spans = [f(c).alias(f"{kind}_{c}_{name}") for n, place in VIEWS for f, kind, c in ((F.min, "least", n), (F.max, "most", n), (F.min, "first", place))]
+        return side.groupBy("gram", F.col("root").alias(f"root_{name}")).agg(*spans, F.min(F.struct("place", "key")).alias(f"pick_{name}"))
 
-    met = groups(short, "a").join(groups(held, "b"), ["sets", "gram"]).where(
-        (F.col("root_a") != F.col("root_b")) & _near("least_a", "most_a", "first_a", "least_b", "most_b", "first_b"))
+    near = [_near(f"least_{n}_a", f"most_{n}_a", f"first_{p}_a", f"least_{n}_b", f"most_{n}_b", f"first_{p}_b") for n, p in VIEWS]
+    met = groups(short, "a").join(groups(held, "b"), "gram").where((F.col("root_a") != F.col("root_b")) & (near[0] | near[1]))
     return met, short, held
 
 
@@ -154,7 +170,7 @@ def witnesses(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """One pair (a, b), a < b, for every two classes that meet: where the shared k-mer stands first."""
     met, _, _ = _meetings(rows, roots)
     a, b = F.col("pick_a.key"), F.col("pick_b.key")
-    first = F.min(F.struct((F.col("first_a") + F.col("first_b")).alias("at"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))).alias("w")
+    first = F.min(F.struct((F.col("first_place_a") + F.col("first_place_b")).alias("at"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))).alias("w")
     return met.groupBy(F.least("root_a", "root_b").alias("r"), F.greatest("root_a", "root_b").alias("s")).agg(first).select("w.a", "w.b").distinct()
 
 
@@ -164,11 +180,12 @@ def rare_pairs(rows: DataFrame, roots: DataFrame) -> DataFrame:
     Tokens first pair classes and then their members, so that a large class does not meet itself.
     """
     met, short, held = _meetings(rows, roots)
-    met = met.select("sets", "gram", "root_a", "root_b")
-    sides = [side.select("sets", "gram", *[F.col(c).alias(f"{c}_{name}") for c in ("root", "key", "n", "place")]) for side, name in ((short, "a"), (held, "b"))]
-    both = met.join(sides[0], ["sets", "gram", "root_a"]).join(sides[1], ["sets", "gram", "root_b"])
-    both = both.where(_near("n_a", "n_a", "place_a", "n_b", "n_b", "place_b") & ((F.col("n_a") < F.col("n_b")) | (F.col("key_a") < F.col("key_b"))))
-    return both.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
+    met = met.select("gram", "root_a", "root_b")
+    columns = ("root", "key", *[c for view in VIEWS for c in view])
+    sides = [side.select("gram", *[F.col(c).alias(f"{c}_{name}") for c in columns]) for side, name in ((short, "a"), (held, "b"))]
+    both = met.join(sides[0], ["gram", "root_a"]).join(sides[1], ["gram", "root_b"])
+    near = [_near(f"{n}_a", f"{n}_a", f"{p}_a", f"{n}_b", f"{n}_b", f"{p}_b") & ((F.col(f"{n}_a") < F.col(f"{n}_b")) | (F.col("key_a") < F.col("key_b"))) for n, p in VIEWS]
+    return both.where(near[0] | near[1]).select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
 
 
 def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:

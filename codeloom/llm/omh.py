@@ -20,7 +20,7 @@ class _Hashes(dict):
     """Word -> number, remembered for the words of a task up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = zlib.crc32(word) | (zlib.adler32(word) << 32)
         return h
