@@ -247,6 +247,21 @@ def import_crawl(c: Corpus) -> DataFrame:
     return T.crawl_imports(seeds, cut(T.import_edges(table))).select("seed", "file", F.coalesce("filter", F.lit("")).alias("filter"), "depth")
 
 
+# from every file, however far imports lead; a file that cannot be parsed imports nothing
+@query(f"""WITH {_P},
+far AS (SELECT x.folder AS here, y.folder, y.file, split_part(y.folder, '/', 1) || '/__init__.py' AS region FROM b x JOIN b y ON y.n > x.n),
+start AS (SELECT file AS seed, folder AS here FROM p UNION ALL SELECT file, folder FROM b)
+SELECT relative_path AS seed, relative_path AS file, '' AS filter FROM fx_sources
+UNION SELECT file, folder || '/base.py', f FROM p, (SELECT unnest(['', 'Base', 'registered']) AS f) t
+UNION SELECT seed, file, '' FROM start JOIN far USING (here)
+UNION SELECT seed, folder || '/__init__.py', '' FROM start JOIN far USING (here)
+UNION SELECT seed, region, '' FROM start JOIN far USING (here)""")
+def import_reach(c: Corpus) -> DataFrame:
+    table = T.symbol_table(facts(c), files(c))
+    seeds = table.files.select("repo_id", F.col("file").alias("seed"))
+    return T.reached_files(seeds, cut(T.import_edges(table))).select("seed", "file", F.coalesce("filter", F.lit("")).alias("filter"))
+
+
 # the package files reached by the crawl re-export the same names; of equals the smallest id is taken
 @query(f"""WITH {_P}, near AS (SELECT x.m, min(y.m) AS first FROM b x JOIN b y ON y.n BETWEEN x.n AND x.n + 5 GROUP BY 1)
 SELECT mod || '.' || fn AS caller_id, 'far.helper' AS raw_callee, first || '.base.helper' AS callee_id FROM p JOIN near USING (m)

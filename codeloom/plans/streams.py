@@ -12,6 +12,7 @@ from codeloom.plans.corpus import Corpus
 from codeloom.plans.registry import query
 from codeloom.session import shared_folder
 from codeloom.streaming import jobs as S
+from codeloom.streaming import state as T
 
 
 def _place(c: Corpus) -> str:
@@ -75,3 +76,51 @@ def ingest_stream(c: Corpus) -> DataFrame:
     S.ingest_stream(incoming, f"{place}/facts", f"{place}/ckpt", to_files=lambda batch: batch).awaitTermination()
     stored = c.spark.read.parquet(f"{place}/facts")
     return stored.where("fact IN ('component', 'error')").groupBy("repo_id", "fact").agg(F.count(F.lit(1)).alias("n"))
+
+
+# a component's totals start anew before every call whose number and component add up to a multiple of three
+@query("""WITH r AS (SELECT component_id, max(call_no) FILTER (WHERE (CAST(component_id AS BIGINT) + call_no) % 3 = 0) AS last,
+    count(DISTINCT call_no) FILTER (WHERE (CAST(component_id AS BIGINT) + call_no) % 3 = 0) AS run FROM fx_usage GROUP BY 1)
+SELECT component_id, CAST(run AS BIGINT) AS run, agent, count(*) AS call_count, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
+  CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens
+FROM fx_usage JOIN r USING (component_id) WHERE last IS NULL OR call_no >= last GROUP BY 1, 2, 3""")
+def resetting_usage(c: Corpus) -> DataFrame:
+    """Calls and resets arrive in any order; totals are those since the last reset."""
+    place = _place(c)
+    tokens = ["input_tokens", "output_tokens", "total_tokens"]
+    at = F.timestamp_seconds(F.col("call_no") + 1_700_000_000).alias("ts")
+    calls = c.usage.select("component_id", at, F.lit(1).cast("long").alias("seq"), F.lit("call").alias("kind"), "agent", *tokens)
+    resets = c.usage.where("(CAST(component_id AS BIGINT) + call_no) % 3 = 0").select("component_id", "call_no").distinct().select(
+        "component_id", at, F.lit(0).cast("long").alias("seq"), F.lit("reset").alias("kind"))
+    late = c.usage.agg(F.max("call_no").alias("call_no")).withColumn("call_no", F.col("call_no") + 864_000).select(at, F.lit("late").alias("component_id"), F.lit("reset").alias("kind"))
+    events = calls.unionByName(resets, allowMissingColumns=True).unionByName(late, allowMissingColumns=True)
+    stream = T.resetting_usage(_staged(c, events, place, "in"))
+    T.run(c.spark, stream, lambda s: S.to_table(s, f"{place}/out", f"{place}/ckpt", "update"))
+    return T.current_totals(c.spark.read.option("basePath", f"{place}/out").parquet(f"{place}/out/batch=*")).where("component_id <> 'late'")
+
+
+@query("""SELECT task_id, arg_max(status, (ts, seq)) AS status, arg_max(status_detail, (ts, seq)) AS status_detail, arg_max(seq, (ts, seq)) AS seq
+FROM fx_task_events WHERE task_id IS NOT NULL GROUP BY 1""")
+def expiring_task_state(c: Corpus) -> DataFrame:
+    place = _place(c)
+    late = c.task_events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit("late").alias("task_id"), F.lit(-1).cast("long").alias("seq"))
+    events = _staged(c, c.task_events.unionByName(late, allowMissingColumns=True), place, "in")
+    T.run(c.spark, T.expiring_task_state(events), lambda s: S.to_table(s, f"{place}/out", f"{place}/ckpt", "update"))
+    return S.current_rows(c.spark, f"{place}/out", ["task_id"]).where("task_id <> 'late'").select("task_id", "status", "status_detail", "seq")
+
+
+# as for pair_calls; an end without a start goes out half an hour after it
+@query("""SELECT event_id AS run_id, CAST(user_id AS STRING) AS component_id, CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'inner' ELSE 'unknown' END
+   WHEN event_type = 'click' THEN 'first' ELSE 'Writer' END AS agent, event_type <> 'error' AS matched, CAST(event_id % 1000 AS BIGINT) AS input_tokens FROM {events}""")
+def pair_calls_in_time(c: Corpus) -> DataFrame:
+    place = _place(c)
+    starts = c.sql("""SELECT event_id AS run_id, CASE WHEN event_type = 'click' THEN array('first', 'second') ELSE array('other', 'Writer') END AS tags, ts
+                      FROM {events} WHERE event_type <> 'error'""")
+    ends = c.sql("""SELECT event_id AS run_id, CAST(user_id AS STRING) AS component_id, ts + INTERVAL 1 MINUTE AS ts,
+                    CASE WHEN event_id % 2 = 0 THEN array('outer', 'inner') ELSE CAST(array() AS array<string>) END AS chain_tags,
+                    event_id % 1000 AS input_tokens, event_id % 7 AS output_tokens, event_id % 1000 + event_id % 7 AS total_tokens FROM {events}""")
+    late = c.events.agg(F.max("ts").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 10 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("run_id"))
+    ends = ends.unionByName(late, allowMissingColumns=True)
+    stream = T.pair_calls_in_time(_staged(c, starts, place, "starts"), _staged(c, ends, place, "ends"))
+    T.run(c.spark, stream.where("run_id >= 0"), lambda s: S.to_table(s, f"{place}/out", f"{place}/ckpt", "update"))
+    return c.spark.read.parquet(f"{place}/out").select("run_id", "component_id", "agent", "matched", "input_tokens")
