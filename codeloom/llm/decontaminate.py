@@ -1,8 +1,8 @@
 """Benchmark decontamination: SimHash windows, multi-index Hamming blocks, exact weighted shingles.
 
-A window has the size of a benchmark item, in words.  A window that reaches ``SIMILAR`` shares at least one 5-word
-shingle with the item, so windows are only laid where a document has a shingle of an item, in line with it; that
-leaves out no match.  Windows and items get 64-bit SimHash fingerprints of their words.  Fingerprints are cut into
+A window has the size of a benchmark item, in words.  One that reaches ``SIMILAR`` holds at least that share of the
+item's shingles, so windows are laid at every start, and only there, where so many places of a document carry a shingle
+of the item (``starts``); that leaves out no match.  Windows and items get 64-bit SimHash fingerprints of their words.  Fingerprints are cut into
 ``BLOCKS`` blocks; two that differ in at most ``BLOCKS - 1`` bits agree in at least one block (and are looked up by it,
 together with the size), so every pair within that radius is found.  The pairs within the radius are then compared by
 the exact similarity of their shingles, weighted by how often they occur.
@@ -10,7 +10,8 @@ the exact similarity of their shingles, weighted by how often they occur.
 Defined results: words are runs of non-space characters of the lower-cased text; a null text counts as empty.  Items of
 fewer than five words have no shingle and match nothing.  At the ends of a document a window may be shorter than its
 item.  Repeated rows are judged alike and reported once for equal ids and texts; null ids are kept.  Equal items are
-all reported.
+all reported.  Long texts are taken whole; of windows that are equally similar the first is reported.  Without documents
+or items there is no match.  Further columns are ignored, and kept by ``keep_clean``, whatever their names.
 """
 
 from __future__ import annotations
@@ -79,23 +80,41 @@ def indexed(benchmark: DataFrame) -> DataFrame:
     return cut(items.select("item_id", F.size("words").alias("size"), "shingles", fingerprint(F.col("words")).alias("print")))
 
 
+def starts(places: Column, shingles: Column, held: Column) -> Column:
+    """Where windows can reach ``SIMILAR``, given the ``places`` (ascending) of a document that carry one of an item's
+    ``shingles`` (their number), in a document of ``held`` places.
+
+    A window's common part is at most its number of such places.  With c in common of m and at most m places it needs
+    c >= SIMILAR * m, so ``need`` of them lie within m places; a window cut short by the end of the document has fewer
+    places of its own, which the second test takes into account.
+    """
+    need = F.ceil(shingles * SIMILAR - 1e-9).cast("int")
+    firsts = F.slice(places, 1, F.greatest(F.size(places) - need + 1, F.lit(0)))
+    spans = F.transform(firsts, lambda p, i: F.when(
+        F.get(places, i + need - 1) - p < shingles, F.sequence(F.greatest(F.get(places, i + need - 1) - shingles + 1, F.lit(0)), p)))
+    every = F.array_distinct(F.flatten(F.filter(spans, lambda x: x.isNotNull())))
+    inside = lambda s: F.size(F.filter(places, lambda p: (p >= s) & (p < s + shingles)))
+    share = SIMILAR / (1 + SIMILAR)
+    return F.filter(every, lambda s: inside(s) >= (shingles + F.least(shingles, held - s)) * share - 1e-9)
+
+
 def windows(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Windows of a document in line with a shingle of an item: (doc_id, key, start, size, words)."""
-    # distinct places only: how far a shingle lies from its item's start, and how long the item is
-    marks = cut(items.select("size", F.posexplode("shingles").alias("at", "shingle")).distinct())
+    """Windows of a document that can be similar to an item: (doc_id, key, start, size, words)."""
+    marks = items.select(F.xxhash64("size", "shingles").alias("item"), "size", F.size("shingles").alias("m"), F.explode("shingles").alias("shingle")).distinct()
+    marks = cut(marks)
+    marks = F.broadcast(marks) if marks.count() <= broadcast_rows else marks
     rows = _hashed(slim(docs, "doc_id", "text").withColumn("key", text_key()))
-    start = F.greatest(F.col("place") - F.col("at"), F.lit(0)).alias("start")
-    place = ["doc_id", "key", "start", "size"]
-    if marks.count() <= broadcast_rows:
-        hit = rows.select("doc_id", "key", "words", F.posexplode("shingles").alias("place", "shingle")).join(F.broadcast(marks), "shingle")
-        laid = hit.select("doc_id", "key", start, "size", "words")
-    else:
-        # shingles travel without their texts; the words of texts with hits are joined afterwards
-        hit = rows.select("doc_id", "key", F.posexplode("shingles").alias("place", "shingle")).join(marks, "shingle")
-        found = hit.select("doc_id", "key", start, "size").distinct()
-        own = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "start", "size")
-        laid = rows.select("doc_id", "key", "words").join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))).drop("_id", "_key")
-    return cut(laid.select("doc_id", "key", "start", "size", F.slice("words", F.col("start") + 1, F.col("size")).alias("words")).dropDuplicates(place))
+    # shingles travel without their texts; all places of a document are in one task, which brings them together first
+    hit = rows.select("doc_id", "key", F.size("shingles").alias("held"), F.posexplode("shingles").alias("place", "shingle")).join(marks, "shingle")
+    near = hit.groupBy("doc_id", "key", "item").agg(F.first("size").alias("size"), F.first("m").alias("m"), F.first("held").alias("held"), F.sort_array(F.collect_set("place")).alias("places"))
+    near = near.where(F.size("places") >= F.col("m") * SIMILAR - 1e-9)
+    found = cut(near.select("doc_id", "key", "size", F.explode(starts(F.col("places"), F.col("m"), F.col("held"))).alias("start")).distinct())
+    own = found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    own = F.broadcast(own) if own.count() <= broadcast_rows else own
+    texts = slim(docs, "doc_id", "text").withColumn("key", text_key()).join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi")
+    texts = _hashed(texts.dropDuplicates(["doc_id", "key"])).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "words")
+    laid = found.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+    return cut(laid.select("doc_id", "key", "start", "size", F.slice("words", F.col("start") + 1, F.col("size")).alias("words")))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -3,12 +3,16 @@
 ``parts`` cuts a url into host and path.  A given rule fits its host and all subdomains where the path starts with the
 rule's; the longest fitting rule decides.  All other urls are judged by association rules: Spark's FP-growth finds the
 combinations of url tokens that go with a bad label; those with enough confidence and support, and none whose part
-is a rule already, are kept.  A url is matched through an inverted index: its tokens are looked up among the rarest
+is a rule already, are kept.  Tokens that the same urls hold (``host:`` and ``word:`` of a name, or the fixed parts of a
+site's urls) are one item, the first of them by name: every combination of them has the same counts, so mining them one
+by one finds nothing more.  Tokens of any length and frequency take part.  A url is matched through an inverted index: its tokens are looked up among the rarest
 tokens of the rules, and only the rules found so are tested in full.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no tokens, no rule, and is allowed.
 Without labels, or where no combination is confident enough, no rule is mined and what no given rule blocks is
-allowed.  Repeated rows are judged alike; one row per input row.
+allowed.  Repeated rows are judged alike; one row per input row, null ids included.  Long urls are taken whole.  Equal
+rules are one rule; of several that fit, the first by its items is reported.  A page's label is the one of the same id:
+the tables share their ids.  Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +35,6 @@ SUPPORT = 0.005
 CONFIDENCE = 0.8
 #: Urls that a rule must at least rest on, however few labels there are.
 LEAST_URLS = 20
-#: Tokens that more than this share of the labelled urls hold tell nothing and are left out of the combinations.
-COMMON = 0.5
 #: Labelled urls that rules are mined from, on average (a bounded sample by the hash of the id).
 TRAIN_URLS = 200_000
 BAD = "label:bad"
@@ -58,7 +60,7 @@ def tokens(url: Column) -> Column:
         named("path:", F.split(F.regexp_replace(path, r"\d+", "#"), "/")),
         named("query:", F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, r"(?s)^([^=]*)", 1))),
         named("anchor:", F.array(F.regexp_extract(url, r"(?s)#(.*)$", 1))))
-    held = F.filter(F.array_distinct(every), lambda x: ~x.endswith(":") & (F.length(x) <= 80))
+    held = F.filter(F.array_distinct(every), lambda x: ~x.endswith(":"))
     return F.when(F.contains(url, F.lit("://")), held).otherwise(F.array().cast("array<string>"))
 
 
@@ -74,7 +76,7 @@ def given(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(rule, items, rarest): combinations of url tokens whose pages are labelled bad with the given confidence.
 
-    A page's label is that of the id: bad where the quality is 0 or toxic is 1.  The number of rules is bounded by the
+    A page's label is that of the id: bad where the quality is 0 or toxic is 1.  The number of items is bounded by the
     support and does not grow with the table.
     """
     bad = F.coalesce((F.max("toxic") == 1) | (F.min("quality") == 0), F.lit(False))
@@ -86,9 +88,12 @@ def mine(pages: DataFrame, labels: DataFrame, support: float = SUPPORT, confiden
     sample = known.where(F.pmod(F.xxhash64("page_id"), F.lit(million)) < min(million, -(-TRAIN_URLS * million // max(1, n))))
     n = sample.count()
     support = min(1.0, max(support, LEAST_URLS / max(1, n)))
-    counts = sample.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    # at most 1 / support tokens for each place of a url
-    frequent = {r["item"]: r["n"] for r in counts.where(F.col("n").between(support * n, COMMON * n)).collect()}
+    page = F.xxhash64("page_id", "items")
+    counts = sample.select(F.explode("items").alias("item"), page.alias("page")).groupBy("item").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor("page").alias("x"), F.sum(F.pmod("page", F.lit((1 << 31) - 1))).alias("y"))
+    # at most 1 / support tokens for each place of a url; of tokens with the same urls the first stands for all
+    alike = counts.where(F.col("n") >= support * n).groupBy("n", "x", "y").agg(F.min("item").alias("item"))
+    frequent = {r["item"]: r["n"] for r in alike.collect()}
     useful = F.array(*[F.lit(x) for x in sorted(frequent)]).cast("array<string>")
     baskets = sample.select(F.concat(F.array_intersect("items", useful), F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)

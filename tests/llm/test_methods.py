@@ -26,6 +26,10 @@ def shingles(text, k=5):
     return {tuple(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
+def grams(words, k=5):
+    return [tuple(words[i:i + k]) for i in range(len(words) - k + 1)]
+
+
 def read(spark, name):
     return spark.read.parquet(f"{SF}/{name}.parquet")
 
@@ -84,6 +88,29 @@ def test_decontamination_against_brute_force(spark, make_docs):
                 if len(here & own) / len(here | own) >= 0.8:
                     expected.add((d, i))
     assert len(expected) >= 10
+    # a passage with words put into its middle: the best window lies between those in line with its halves
+    u = prose(r, 200).split()
+    w = [*prose(r, 8).split(), *u[8:100], *prose(r, 16).split(), *u[100:192], *prose(r, 8).split()]
+    items.append((90, " ".join(u)))
+    docs.append((90, " ".join(w), "en", "s"))
+    expected.add((90, 90))
+    # insertions, deletions and changes in the middle and at both ends, kept or not by every window there is
+    for d in range(100, 160):
+        i, u = r.choice(items[:12])
+        w = u.split()
+        for _ in range(r.randrange(4)):
+            at = r.choice((0, len(w) - 1, r.randrange(len(w))))
+            w[at:at + r.randrange(2)] = [r.choice(WORDS) for _ in range(r.randrange(3))]
+            w = w or ["x"]
+        w = [*prose(r, r.choice((0, 3, 40))).split(), *w, *prose(r, r.choice((0, 3, 40))).split()]
+        docs.append((d, " ".join(w), "en", "s"))
+        for i, u in items:
+            m, own = len(u.split()), Counter(grams(u.split()))
+            for at in range(max(1, len(w) - 4)):
+                here = Counter(grams(w[at:at + m]))
+                both = sum((here & own).values())
+                if both and both >= 0.8 * (sum(here.values()) + sum(own.values()) - both):
+                    expected.add((d, i))
     for rows in (decontaminate.BROADCAST_ROWS, 0):  # 0: nothing is broadcast
         got = decontaminate.matches(make_docs(docs), spark.createDataFrame(items, "item_id long, text string"), rows)
         assert {(x["doc_id"], x["item_id"]) for x in got.collect()} == expected
@@ -246,11 +273,44 @@ def test_url_rules(spark):
             labels.append((i, 0 if bad else 1, 0))
     df = spark.createDataFrame(pages, "page_id long, url string")
     rules = urlrules.mine(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    assert ["word:casino"] in [x["items"] for x in rules.collect()]
+    assert ["word:casino"] in [x["items"] for x in rules.collect()], rules.collect()
     got = {x["page_id"]: x["verdict"] for x in urlrules.judge(df, rules).collect()}
     assert got == {i: "block" if i % 6 == 0 else "allow" for i in range(600)}
 
 
+def test_mined_rules_against_brute_force(spark):
+    """A site template of 25 fixed tokens, common and long tokens, and a combination of two that are not bad alone."""
+    from itertools import combinations
+    r, long_name = random.Random(8), "n" * 120
+    fixed = "/".join(f"part{'abcdefghijklmnopqrstuvwxy'[i]}" for i in range(25))
+    pages, labels = [], []
+    for i in range(900):
+        site, name, mark = r.random() < 0.3, r.random() < 0.7, r.random() < 0.4
+        scheme, host = ("https" if name else "http"), ("tpl" if site else r.choice(("one", "two")))
+        url = f"{scheme}://{host}.test/{fixed if site else 'x'}/{i}?{long_name if mark else 'q'}=1"
+        bad = (name and mark and not site and r.random() < 0.95) or r.random() < 0.02
+        pages.append((i, url))
+        labels.append((i, 0 if bad else 1, 0))
+    pages.append((10**6, None))
+    rules = urlrules.mine(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {tuple(x["items"]) for x in rules.collect()}
+    held = [(frozenset(x[0]), b == 0) for x, (_, b, _) in zip(
+        spark.createDataFrame(pages[:900], "page_id long, url string").orderBy("page_id").select(urlrules.tokens(F.col("url"))).collect(), labels, strict=True)]
+    least = max(urlrules.SUPPORT * 900, urlrules.LEAST_URLS)
+    # one item for tokens of the same urls
+    where = {}
+    for token in sorted({t for h, _ in held for t in h}):
+        where.setdefault(frozenset(k for k, (h, _) in enumerate(held) if token in h), token)
+    items = {t: w for w, t in where.items() if len(w) >= least}
+    bad, want = {k for k, (_, b) in enumerate(held) if b}, set()
+    for size in range(1, len(items) + 1):
+        for combo in combinations(sorted(items), size):
+            urls = frozenset.intersection(*(items[t] for t in combo))
+            if len(urls & bad) >= least and len(urls & bad) >= urlrules.CONFIDENCE * len(urls) and not any(set(w) < set(combo) for w in want):
+                want.add(combo)
+    assert got == want and any(f"query:{long_name}" in c and len(c) > 1 for c in want)
+
+
 def test_given_url_rules_against_brute_force(spark):
     def brute(url):
         rest = url.split("://", 1)[1] if "://" in url else ""
