@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,6 +67,47 @@ def apply_model(df: DataFrame, model: Model, prompt: str = "prompt", retries: in
     return cut(df.mapInArrow(run, schema))
 
 
+class CallLog:
+    """Answers of models in a folder, so that a run that was stopped does not pay for them again.
+
+    A call is known by the agent, the component, the round (whatever of ``attempts`` and ``rejections`` the rows carry)
+    and the prompt.  ``apply`` takes answers from the log and calls the model for the rest; those answers are written
+    before they are used.  Calls that failed are not kept and so are made again by the next run.
+    """
+
+    ROUND = ("attempts", "rejections")
+    SCHEMA = "call string, repo_id string, id string, response string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def answers(self, agent: str | None = None) -> DataFrame:
+        """What the log holds: agent, call, repo_id, id, response."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place):
+            return self.spark.createDataFrame([], f"{self.SCHEMA}, agent string")
+        rows = self.spark.read.schema(f"{self.SCHEMA}, agent string").option("basePath", self.path).parquet(f"{self.path}/agent=*/part=*")
+        return rows if agent is None else rows.where(F.col("agent") == agent)
+
+    def apply(self, df: DataFrame, model: Model, agent: str, prompt: str = "prompt", retries: int = 1) -> DataFrame:
+        """As ``apply_model``."""
+        rounds = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in self.ROUND if c in df.columns]
+        own = F.concat_ws("\x1f", *[F.coalesce(c, F.lit("")) for c in KEY], *rounds, F.md5(F.coalesce(F.col(prompt), F.lit("")).cast("binary")))
+        rows = cut(df.withColumn("_call", F.sha2(own, 256)))
+        known = cut(self.answers(agent).groupBy("call").agg(F.min("response").alias("response")).withColumnRenamed("call", "_call"))
+        fresh = apply_model(rows.join(known, "_call", "left_anti"), model, prompt, retries)
+        fresh.where("error IS NULL").select(F.col("_call").alias("call"), *KEY, "response").write.parquet(f"{self.path}/agent={agent}/part={uuid.uuid4().hex}")
+        old = rows.join(known, "_call").withColumn("error", F.lit(None).cast("string"))
+        columns = [*df.columns, "response", "error"]
+        return old.select(*columns).unionByName(fresh.select(*columns))
+
+
+def _calls(log: CallLog | None) -> Callable[..., DataFrame]:
+    def call(df: DataFrame, model: Model, agent: str) -> DataFrame:
+        return apply_model(df, model) if log is None else log.apply(df, model, agent)
+    return call
+
+
 def assign_pool(df: DataFrame, size: int, order: Sequence[Column], name: str = "endpoint") -> DataFrame:
     """Round robin: the n-th row in ``order`` gets endpoint (n - 1) mod size."""
     placed = numbered(df, [], order, "_n")
@@ -141,14 +182,16 @@ def parse_report(response: Column | str) -> Column:
 
 def gather_rounds(parts: DataFrame, components: DataFrame, state: DataFrame, reader: Model, searcher: Model,
                   templates: Templates = Templates(), max_attempts: int = MAX_ATTEMPTS, max_tokens: int = MAX_TOKENS,
-                  tokenizer: Tokenizer | None = None) -> tuple[DataFrame, DataFrame]:
+                  tokenizer: Tokenizer | None = None, log: CallLog | None = None) -> tuple[DataFrame, DataFrame]:
     """Ask whether the context suffices and extend it until it does or the attempts are used up.
 
+    With a ``log``, answers of an earlier run are used again.
+
     ``state(repo_id, id, attempts, feedback)`` lists the components to ask
     about.  Returns (parts, state with the new attempts).  The extension that
     uses the last attempt is not asked about again.
     """
-    state = cut(state)
+    state, call = cut(state), _calls(log)
     open_, closed = state, state.limit(0)
     sources = components.select(*KEY, "component_type", "source_code")
     for _ in range(max_attempts + 1):
@@ -159,13 +202,13 @@ def gather_rounds(parts: DataFrame, components: DataFrame, state: DataFrame, rea
         contexts = assemble(parts.join(mine, KEY, "left_semi"), sources.join(mine, KEY, "left_semi"), max_tokens, tokenizer)
         prompts = _whole(contexts).join(asked, KEY).withColumn("prompt", fill(
             templates.reader, context=F.col("context"), code=F.col("focal"), feedback=F.col("feedback")))
-        answered = apply_model(prompts.select(*state.columns, "prompt"), reader).withColumn("need", parse_need("response"))
+        answered = call(prompts.select(*state.columns, "prompt"), reader, "reader").withColumn("need", parse_need("response"))
         more = F.col("need.info_need") & (F.col("attempts") < max_attempts)
         answered = cut(answered.withColumn("_more", more))
         extended = answered.where("_more").withColumn("attempts", F.col("attempts") + 1)
         requests = extended.select(*KEY, F.explode("need.internal_expand").alias("part_id"))
         queries = extended.select(*KEY, "attempts", F.posexplode("need.external_retrieval").alias("at", "query")).where("query <> ''")
-        replies = apply_model(queries.withColumn("prompt", F.col("query")), searcher).select(
+        replies = call(queries.withColumn("prompt", F.col("query")), searcher, "searcher").select(
             *KEY, (F.col("attempts") * 1_000_000 + F.col("at")).alias("seq"), "query", F.trim(F.coalesce("response", F.lit(""))).alias("answer"))
         parts = cut(merge_external(expand_requested(parts, requests, components), replies))
         left = extended.select(*state.columns)
@@ -223,22 +266,26 @@ def revise_rounds(state: DataFrame, write: Callable[[DataFrame], DataFrame], ver
     return cut(result)
 
 
-def generate_by_level(order: DataFrame, make: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def generate_by_level(order: DataFrame, make: Callable[[DataFrame, DataFrame], DataFrame], place: str | None = None) -> DataFrame:
     """Generate level by level, so a component sees the documentation of what it depends on.
 
     ``make(rows, docs)`` gets the rows of one level and the table of all
     documentation so far (``repo_id, id, docstring``; empty for the first level)
     and returns ``repo_id, id, docstring`` for them.  Every level is appended to
-    one table in the shared folder; nothing is made twice.
+    one table; nothing is made twice.  ``place`` names the table's folder: a run
+    that finds finished levels there goes on behind them (None: a new folder in
+    the shared one).
     """
     spark = order.sparkSession
-    place = f"{shared_folder(spark)}/docs-{uuid.uuid4().hex}"
+    place = place or f"{shared_folder(spark)}/docs-{uuid.uuid4().hex}"
     schema = "repo_id string, id string, docstring string"
     top = order.agg(F.max("level")).first()[0]
     docs = spark.createDataFrame([], schema)
     for level in range((-1 if top is None else top) + 1):
-        made = make(order.where(F.col("level") == level), docs).select(*KEY, "docstring")
-        made.write.mode("overwrite").parquet(f"{place}/level={level}")
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/level={level}/_SUCCESS")  # written when a level is whole
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            made = make(order.where(F.col("level") == level), docs).select(*KEY, "docstring")
+            made.write.mode("overwrite").parquet(f"{place}/level={level}")
         docs = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(place)
     return docs
 

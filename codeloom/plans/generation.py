@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from codeloom.operators import verify as V
 from codeloom.plans.corpus import Corpus
 from codeloom.plans.graphs import CLOSURE
 from codeloom.plans.registry import query
-from codeloom.session import cut
+from codeloom.session import cut, shared_folder
 
 # --- choosing parts ---------------------------------------------------------
 
@@ -272,6 +273,22 @@ def gather_rounds(c: Corpus) -> DataFrame:
     return final.join(n, ["repo_id", "id"], "left").select("id", "attempts", F.coalesce("n_answers", F.lit(0)).alias("n_answers"))
 
 
+# as gather_rounds, and how often each agent was asked in both runs together
+@query("""SELECT id, least(c_custkey % 5, 3) AS attempts, least(c_custkey % 5, 3) AS n_answers, least(c_custkey % 5 + 1, 3) AS n_reader, least(c_custkey % 5, 3) AS n_searcher FROM fx_function""")
+def resumed_rounds(c: Corpus) -> DataFrame:
+    """A run that ends after its first attempts, and a second one that goes on from the log of the first."""
+    comps = c.sql("SELECT 'corpus' AS repo_id, id, 'function' AS component_type, 'need' || CAST(c_custkey % 5 AS STRING) AS source_code FROM fx_function")
+    none = c.sql("SELECT 'corpus' AS repo_id, id, 'external' AS kind, CAST(1 AS BIGINT) AS pos, id AS part_id, '' AS type, '' AS content FROM fx_function").limit(0)
+    state = comps.select("repo_id", "id", F.lit(0).cast("long").alias("attempts"), F.lit(None).cast("string").alias("feedback"))
+    log = N.CallLog(c.spark, f"{shared_folder(c.spark)}/calls-{uuid.uuid4().hex}")
+    N.gather_rounds(none, comps, state, stub_reader, stub_searcher, max_attempts=1, log=log)
+    parts, final = N.gather_rounds(none, comps, state, stub_reader, stub_searcher, max_attempts=3, log=log)
+    n = parts.groupBy("repo_id", "id").agg(F.count(F.lit(1)).alias("n_answers"))
+    calls = log.answers().groupBy("repo_id", "id").agg(*[F.count_if(F.col("agent") == a).alias(f"n_{a}") for a in ("reader", "searcher")])
+    counted = final.join(n, ["repo_id", "id"], "left").join(calls, ["repo_id", "id"], "left")
+    return counted.select("id", "attempts", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_answers", "n_reader", "n_searcher")])
+
+
 def stub_writer(prompts: list[str]) -> list[str]:
     """Documents with the number of the draft, read from the feedback."""
     return [json.dumps({"short_summary": "draft " + (re.search(r"again(\d)", p).group(1) if "again" in p else "0")}) for p in prompts]

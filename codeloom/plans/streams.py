@@ -11,6 +11,7 @@ from codeloom.functions.exprs import module_path
 from codeloom.plans.corpus import Corpus
 from codeloom.plans.registry import query
 from codeloom.session import shared_folder
+from codeloom.sources.commits import commit_records, read_records
 from codeloom.streaming import jobs as S
 from codeloom.streaming import state as T
 
@@ -63,21 +64,39 @@ def pair_calls(c: Corpus) -> DataFrame:
     return c.spark.read.parquet(f"{place}/out").select("run_id", "agent", "input_tokens")
 
 
+# package files have no facts of these kinds
 @query("""SELECT repo_id, fact, count(*) AS n FROM (
   SELECT split_part(folder, '/', 2) AS repo_id, unnest(['component', 'component', 'component', 'component', 'component']) AS fact FROM fx_method WHERE p_type <> 'PROMO'
   UNION ALL SELECT split_part(folder, '/', 2), 'error' FROM fx_method WHERE p_type = 'PROMO'
   UNION ALL SELECT split_part(folder, '/', 2), unnest(['component', 'component', 'component', 'component', 'component']) FROM fx_module) t GROUP BY 1, 2""")
 def ingest_stream(c: Corpus) -> DataFrame:
-    """The derived sources arrive as a stream, one repository per nation; facts are written by repository."""
+    """The derived sources arrive as a stream, a repository for each nation and each region; facts are committed by repository."""
     place = _place(c)
-    files = c.sources.where("size(split(relative_path, '/')) = 3").withColumns({
-        "repo_id": F.split("relative_path", "/")[1], "path": F.col("relative_path"), "module_path": module_path("relative_path")})
+    parts = F.split("relative_path", "/")
+    files = c.sources.withColumns({
+        "repo_id": F.when(F.size(parts) == 2, parts[0]).otherwise(F.get(parts, F.lit(1))), "path": F.col("relative_path"), "module_path": module_path("relative_path")})
     incoming = _staged(c, files, place, "in")
-    S.ingest_stream(incoming, f"{place}/facts", f"{place}/ckpt", to_files=lambda batch: batch).awaitTermination()
-    stored = c.spark.read.parquet(f"{place}/facts")
+    S.ingest_stream(incoming, f"{place}/facts", f"{place}/ckpt", to_files=lambda batch: batch, repo=F.col("repo_id")).awaitTermination()
+    stored = read_records(c.spark, f"{place}/facts")
     return stored.where("fact IN ('component', 'error')").groupBy("repo_id", "fact").agg(F.count(F.lit(1)).alias("n"))
 
 
+# commits of one record for each fifth of the components: all; then the even ones of fifths 0 and 1, and nothing of fifth 2
+@query("""SELECT 0 AS at, 'fifth' || CAST(k % 5 AS VARCHAR) AS repo_id, count(*) AS n FROM fx_components GROUP BY 2
+UNION ALL SELECT 1, 'fifth' || CAST(k % 5 AS VARCHAR), count(*) FROM fx_components WHERE k % 5 > 2 OR (k % 5 < 2 AND k % 2 = 0) GROUP BY 2""")
+def record_commits(c: Corpus) -> DataFrame:
+    """A second upload replaces two records and empties a third; it is sent twice; the first state can still be read."""
+    place = _place(c)
+    rows = c.components.withColumn("repo_id", F.concat(F.lit("fifth"), (F.col("k") % 5).cast("string")))
+    commit_records(rows, place, batch="a")
+    upload = rows.where("k % 5 < 2 AND k % 2 = 0")
+    named = rows.where("k % 5 < 3").select("repo_id")
+    for _ in range(2):
+        commit_records(upload, place, named, batch="b")
+    states = [read_records(c.spark, place, at).groupBy("repo_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(at).alias("at"), "repo_id", "n") for at in (0, 1)]
+    return states[0].unionByName(states[1])
+
+
 # a component's totals start anew before every call whose number and component add up to a multiple of three
 @query("""WITH r AS (SELECT component_id, max(call_no) FILTER (WHERE (CAST(component_id AS BIGINT) + call_no) % 3 = 0) AS last,
     count(DISTINCT call_no) FILTER (WHERE (CAST(component_id AS BIGINT) + call_no) % 3 = 0) AS run FROM fx_usage GROUP BY 1)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codeloom.functions.exprs import AGENTS
 from codeloom.operators.extract import extract_facts
+from codeloom.sources.commits import commit_records
 from codeloom.sources.files import expand_archives, filter_relevant
 
 UNKNOWN = "unknown"  # fixed value: usage that cannot be attributed
@@ -84,16 +86,23 @@ def stream_archives(spark: SparkSession, folder: str, per_batch: int = 1000) ->
             .schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("path", "content"))
 
 
-def ingest_stream(incoming: DataFrame, out: str, checkpoint: str,
-                  to_files: Callable[[DataFrame], DataFrame] = expand_archives) -> StreamingQuery:
+def archive_repo(path: str = "path") -> Column:
+    """The repository an uploaded file stands for: its name without the ending."""
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")
+
+
+def ingest_stream(incoming: DataFrame, out: str, checkpoint: str, to_files: Callable[[DataFrame], DataFrame] = expand_archives,
+                  repo: Column | None = None) -> StreamingQuery:
     """Extract facts of new uploads and replace the records of their repositories.
 
-    Facts are written partitioned by repository, only the partitions at hand are
-    overwritten, so an upload of a known repository replaces its record as a whole.
+    ``repo`` is the repository of an upload (default: by its path).  Every batch is one commit (see
+    ``sources.commits``): an upload replaces its record as a whole, also by nothing, and a batch that is run again
+    after a failure changes nothing.  ``read_records`` reads the result.
     """
     def upsert(batch: DataFrame, n: int) -> None:
         facts = extract_facts(filter_relevant(to_files(batch)))
-        (facts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("repo_id").parquet(out))
+        named = batch.select((archive_repo() if repo is None else repo).alias("repo_id"))
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or hashlib.md5(checkpoint.encode()).hexdigest()
+        commit_records(facts, out, named, f"{run}-{n}")
     return (incoming.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

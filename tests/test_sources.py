@@ -4,11 +4,13 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import generate as N
 from codeloom.operators import verify as V
 from codeloom.schemas import DOCUMENTATION
+from codeloom.sources import commits as K
 from codeloom.sources import files as S
 from codeloom.sources import records as R
 from codeloom.streaming import jobs as J
@@ -77,13 +79,45 @@ def test_ingest_replaces_a_repository(spark, tmp_path):
     for _ in range(2):
         J.ingest_stream(J.stream_archives(spark, str(tmp_path / "in")), str(tmp_path / "facts"), str(tmp_path / "ck")).awaitTermination()
         put(tmp_path, {"in/later/x": b""})  # not part of the folder itself
-    facts = spark.read.parquet(str(tmp_path / "facts")).where("fact = 'component'")
+    facts = K.read_records(spark, str(tmp_path / "facts")).where("fact = 'component'")
     assert sorted((r.repo_id, r.owner) for r in facts.collect()) == [("one", "a.f"), ("one", "b.g"), ("two", "a.h")]
     put(tmp_path, {"in2/one.zip": zipped({"a.py": "def new(): pass"})})
     J.ingest_stream(J.stream_archives(spark, str(tmp_path / "in2")), str(tmp_path / "facts"), str(tmp_path / "ck2")).awaitTermination()
-    spark.catalog.clearCache()
-    again = spark.read.parquet(str(tmp_path / "facts")).where("fact = 'component'")
+    again = K.read_records(spark, str(tmp_path / "facts")).where("fact = 'component'")
     assert sorted((r.repo_id, r.owner) for r in again.collect()) == [("one", "a.new"), ("two", "a.h")]
+    # an upload without any source empties its record
+    put(tmp_path, {"in3/two.zip": zipped({"notes.txt": "x"})})
+    J.ingest_stream(J.stream_archives(spark, str(tmp_path / "in3")), str(tmp_path / "facts"), str(tmp_path / "ck3")).awaitTermination()
+    left = K.read_records(spark, str(tmp_path / "facts")).where("fact = 'component'")
+    assert sorted((r.repo_id, r.owner) for r in left.collect()) == [("one", "a.new")]
+    assert {r.repo_id: r.n_rows > 0 for r in K.manifest(spark, str(tmp_path / "facts")).collect()} == {"one": True, "two": False}
+
+
+def test_commits(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "repo_id string, id string, n long"
+    assert K.commits(spark, path) == [] and K.manifest(spark, path).count() == 0
+    assert K.commit_records(spark.createDataFrame([("007", "a", 1), ("r", "b", 2), (None, "c", 3)], schema), path, batch="x") == 0
+    first = K.read_records(spark, path)
+    rows = lambda df: sorted((r.repo_id, r.id, r.n) for r in df.collect())
+    # while the next version is written, and until its commit is made, readers see the one before
+    half = spark.createDataFrame([("r", "new", 9)], schema)
+    half.write.partitionBy("repo_id").parquet(f"{path}/data/version=half")
+    K.manifest(spark, path).write.parquet(f"{path}/manifests/n=1")
+    assert rows(K.read_records(spark, path)) == [("007", "a", 1), ("r", "b", 2)]
+    assert K.commit_records(half, path, batch="y") == 1 and K.commit_records(half, path, batch="y") == 1 and K.commits(spark, path) == [0, 1]
+    assert rows(K.read_records(spark, path)) == [("007", "a", 1), ("r", "new", 9)] and rows(first) == rows(K.read_records(spark, path, 0)) == [("007", "a", 1), ("r", "b", 2)]
+    assert K.commit_records(half.limit(0), path, spark.createDataFrame([("r",)], "repo_id string")) == 2
+    assert rows(K.read_records(spark, path)) == [("007", "a", 1)]
+    assert "half" in K.vacuum(spark, path, keep=1) and rows(K.read_records(spark, path)) == [("007", "a", 1)]
+    # two writers that saw the same last commit: the second one fails and changes nothing
+    place, files = K._place(spark, f"{path}/commits/3")
+    files.create(place, False).close()
+    known, K.commits = K.commits, lambda *a: [0, 1, 2]
+    try:
+        with pytest.raises(Exception, match="already exists"):
+            K.commit_records(half, path)
+    finally:
+        K.commits = known
 
 
 def test_call_tags(spark):
@@ -121,3 +155,80 @@ def test_missing_verdict_is_a_rejection(spark):
 
 DOCUMENTATION_ROW = __import__("pyspark.sql.types", fromlist=["StructType"]).StructType().add("repo_id", "string").add("id", "string").add("doc", DOCUMENTATION)
 REPORT_ROW = "repo_id string, id string, report struct<critiques:array<struct<section:string,is_accurate:boolean,critique:string>>,suggested_next_step:string,suggestion_feedback:string>, error string"
+
+
+class Stopped(Exception):
+    pass
+
+
+def test_a_stopped_run_goes_on_from_its_log(spark, tmp_path, monkeypatch):
+    """Killed after the second call of a model: the next run asks for the rest only, with the same result."""
+    from codeloom.operators import context as C
+    asked = tmp_path / "asked"
+
+    def counted(name, model):
+        def call(prompts):
+            with open(asked, "a") as f:
+                f.writelines(f"{name}\n" for _ in prompts)
+            return model(prompts)
+        return call
+
+    def need(prompts):
+        return [json.dumps({"info_need": p.count("**Query:**") < 2, "internal_expand": [], "external_retrieval": [f"q{p.count('**Query:**')}"]}) for p in prompts]
+    reader, searcher = counted("reader", need), counted("searcher", lambda ps: [f"answer to {p}" for p in ps])
+    comps = spark.createDataFrame([("r", f"f{i}", "function", "code") for i in range(6)], "repo_id string, id string, component_type string, source_code string")
+    none = spark.createDataFrame([], "repo_id string, id string, kind string, pos long, part_id string, type string, content string")
+    state = comps.select("repo_id", "id", F.lit(0).cast("long").alias("attempts"), F.lit(None).cast("string").alias("feedback"))
+    go = lambda log: N.gather_rounds(none, comps, state, reader, searcher, max_attempts=3, log=log)
+    table = lambda made: (sorted(map(tuple, made[0].select(*C.PART_COLUMNS).collect())), sorted(map(tuple, made[1].collect()), key=str))
+    whole = table(go(N.CallLog(spark, str(tmp_path / "whole"))))
+    one_run = sorted(asked.read_text().split())
+    assert one_run == ["reader"] * 18 + ["searcher"] * 12
+    asked.unlink()
+    left, real = [3], N.apply_model
+
+    def stops(*args):
+        left[0] -= 1
+        if left[0] < 0:
+            raise Stopped
+        return real(*args)
+    monkeypatch.setattr(N, "apply_model", stops)
+    log = N.CallLog(spark, str(tmp_path / "log"))
+    with pytest.raises(Stopped):
+        go(log)
+    paid = len(asked.read_text().split())
+    assert paid == 18  # reader, searcher, reader
+    monkeypatch.setattr(N, "apply_model", real)
+    assert table(go(N.CallLog(spark, str(tmp_path / "log")))) == whole
+    assert sorted(asked.read_text().split()) == one_run
+    assert log.answers().count() == 30
+
+
+def test_failed_calls_are_made_again(spark, tmp_path):
+    rows = spark.createDataFrame([("r", "a", "x"), ("r", "b", "boom")], "repo_id string, id string, prompt string")
+    log = N.CallLog(spark, str(tmp_path / "log"))
+
+    def fails(prompts):
+        if "boom" in prompts:
+            raise ValueError("no")
+        return prompts
+    assert {r.id: (r.response, r.error) for r in log.apply(rows, fails, "w").collect()} == {"a": ("x", None), "b": (None, "no")}
+    assert {r.id: (r.response, r.error) for r in log.apply(rows, lambda ps: [p + "!" for p in ps], "w").collect()} == {"a": ("x", None), "b": ("boom!", None)}
+
+
+def test_finished_levels_are_not_made_again(spark, tmp_path):
+    order = spark.createDataFrame([("r", f"n{i}", i) for i in range(3)], "repo_id string, id string, level long")
+    made = []
+
+    def make(stop):
+        def one(rows, docs):
+            level = rows.first().level
+            if level == stop:
+                raise Stopped
+            made.append(level)
+            return rows.withColumn("docstring", F.lit(f"after {docs.count()}"))
+        return one
+    with pytest.raises(Stopped):
+        N.generate_by_level(order, make(2), str(tmp_path / "docs"))
+    got = {r.id: r.docstring for r in N.generate_by_level(order, make(None), str(tmp_path / "docs")).collect()}
+    assert made == [0, 1, 2] and got == {"n0": "after 0", "n1": "after 1", "n2": "after 2"}
