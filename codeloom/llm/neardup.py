@@ -35,6 +35,8 @@ from codeloom.llm.common import cut, named, slim, spare, text_key, texts_of
 from codeloom.session import release
 
 SIMILAR = 0.8
+#: Keys of texts (16 bytes each) up to which they are broadcast to the texts; beyond, the texts are shuffled to them.
+BROADCAST_KEYS = 500_000
 #: Turns of one pair for every two classes that meet; what they leave apart is compared in full.
 TURNS = 2
 
@@ -210,8 +212,10 @@ def _verified(batches):
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(key, text) of the wanted keys."""
-    texts = slim(docs, "text").withColumn("key", text_key()).join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    """(key, text) of the wanted keys (distinct, a written table)."""
+    keys = wanted.select("key")
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    texts = slim(docs, "text").withColumn("key", text_key()).join(keys, "key", "left_semi").dropDuplicates(["key"])
     return cut(texts.select("key", F.coalesce("text", F.lit("")).alias("text")))
 
 
