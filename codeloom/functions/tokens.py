@@ -26,6 +26,8 @@ class Tokenizer:
     truncate: Callable[[Column, int], Column]
     # True when count(a + newline + b) == count(a) + count(b)
     additive: bool = False
+    # makes the codec (``encode``, ``decode``, perhaps ``longest``: bytes of its longest token) in a task
+    load: Callable[[], object] | None = None
 
 
 # marks the end of every token while truncating; a Unicode noncharacter, never part of a text
@@ -67,7 +69,7 @@ def from_codec(name: str, load: Callable[[], object]) -> Tokenizer:
                 yield batch.map(lambda t: None if t is None else codec.decode(codec.encode(t)[:n]))
         return head(text)
 
-    return Tokenizer(name, lambda text: count(text), truncate)
+    return Tokenizer(name, lambda text: count(text), truncate, load=load)
 
 
 _current: Tokenizer = REGEX

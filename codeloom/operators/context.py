@@ -8,6 +8,9 @@ rows; text is put together only at the end, in pieces of bounded length.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -269,8 +272,12 @@ def prune_context(parts: DataFrame, focal: DataFrame, max_tokens: int = MAX_TOKE
     With an additive tokenizer the text's size after k removals is the full size
     minus the sizes of the first k parts to go, so it follows from sums: only
     the first ``max_steps`` removals of a component are ever brought together.
+    A codec counts in the tasks, one pass over the components' parts; column
+    functions that do not add up are left with rendering in rounds.
     """
     tokenizer = tokenizer or get_tokenizer()
+    if not tokenizer.additive and tokenizer.load is not None:
+        return _prune_in_tasks(parts, focal, max_tokens, max_steps, tokenizer.load)
     if not tokenizer.additive:
         return _prune_by_rendering(parts, focal, max_tokens, max_steps, tokenizer)
     sized = cut(_with_counts(parts).select(
@@ -295,6 +302,43 @@ def prune_context(parts: DataFrame, focal: DataFrame, max_tokens: int = MAX_TOKE
     return kept, verdict
 
 
+def _prune_in_tasks(parts: DataFrame, focal: DataFrame, max_tokens: int, max_steps: int, load: Callable[[], object]) -> tuple[DataFrame, DataFrame]:
+    """The same with a codec: each component's pieces in one row, where texts are joined, and counted until one fits.
+
+    A text of more than ``longest`` bytes for each token that is left cannot fit and is not encoded.  What is given up
+    first are whole sections from the end or the class; the section that is then the first loses its break.
+    """
+    key = ["repo_id", "id"]
+    ordered = cut(_with_counts(parts).select(*PART_COLUMNS, _removal_no().alias("_no"), _place().alias("_at"), F.coalesce(_piece(), F.lit("")).alias("_text")))
+    # a prompt is one text, so its pieces fit into one row
+    held = ordered.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_at", F.col("_no").cast("long").alias("_no"), "_text"))).alias("pieces"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = load()
+        longest = getattr(codec, "longest", None)
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                pieces, own, result = row["pieces"] or [], row["focal_tokens"], None
+                last = min(len(pieces), max_steps)
+                for step in range(last + 1):
+                    text = "".join(p["_text"] for p in pieces if p["_no"] > step).removeprefix(SECTION_BREAK) or NO_CONTEXT
+                    if step < last and longest and len(text.encode()) > longest * max(0, max_tokens - own):
+                        continue
+                    result = step, own + len(codec.encode(text))
+                    if result[1] <= max_tokens:
+                        break
+                out.append((row["repo_id"], row["id"], *result, result[1] <= max_tokens))
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+            columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["repo_id", "id", "removed", "tokens", "ok"])
+
+    rows = focal.select(*key, F.col("focal_tokens").cast("long").alias("focal_tokens")).join(held, key, "left")
+    verdict = cut(rows.mapInArrow(choose, "repo_id string, id string, removed long, tokens long, ok boolean"))
+    kept = ordered.join(verdict.select(*key, "removed"), key).where(F.col("_no") > F.col("removed")).select(*PART_COLUMNS)
+    return kept, verdict
+
+
 def _prune_by_rendering(parts: DataFrame, focal: DataFrame, max_tokens: int, max_steps: int,
                         tokenizer: Tokenizer) -> tuple[DataFrame, DataFrame]:
     """The same for tokenizers whose counts do not add up: render, count, give up one more part."""

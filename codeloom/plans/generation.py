@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.tokens import REGEX, TOKEN_PATTERN
+from codeloom.functions.tokens import REGEX, TOKEN_PATTERN, from_codec, token_count, truncate_tokens
 from codeloom.operators import context as C
 from codeloom.operators import generate as N
 from codeloom.operators import graph as G
@@ -148,6 +148,42 @@ def pruned_parts(c: Corpus) -> DataFrame:
     return C.prune_context(c.parts, sized, 400, tokenizer=REGEX)[0].select("id", "kind", "pos", "part_id")
 
 
+class Fours:
+    """A codec whose counts do not add up: tokens of four characters."""
+
+    longest = 16
+
+    def encode(self, text: str) -> list[str]:
+        return [text[at:at + 4] for at in range(0, len(text), 4)]
+
+    def decode(self, tokens: list[str]) -> str:
+        return "".join(tokens)
+
+
+_FOURS = f"""{_pieces('fx_parts')}, {_FOCAL},
+tries AS (SELECT id, source_code, unnest(range(0, least(20, coalesce(n_all, 0)) + 1)) AS k FROM foc LEFT JOIN cnt USING (id)),
+texts AS MATERIALIZED (SELECT tries.id, k, coalesce(nullif(regexp_replace(string_agg(text, '' ORDER BY place), '^' || chr(10) || chr(10), ''), ''), '{C.NO_CONTEXT}') AS t
+  FROM tries LEFT JOIN piece ON piece.id = tries.id AND gone_at > k GROUP BY 1, 2),
+size_at AS MATERIALIZED (SELECT id, k, CAST(ceil(length(t) / 4.0) + ceil(length(source_code) / 4.0) AS BIGINT) AS tokens FROM texts JOIN foc USING (id)),
+verdict AS MATERIALIZED (SELECT id, coalesce(min(k) FILTER (WHERE tokens <= 400), max(k)) AS removed, coalesce(arg_min(tokens, k) FILTER (WHERE tokens <= 400), arg_max(tokens, k)) AS tokens,
+  count(*) FILTER (WHERE tokens <= 400) > 0 AS ok FROM size_at GROUP BY 1)"""
+
+
+@query(f"""WITH {_FOURS} SELECT v.id, removed, tokens, ok, count(p.id) AS n_kept FROM verdict v LEFT JOIN piece p ON p.id = v.id AND gone_at > removed GROUP BY 1, 2, 3, 4""")
+def prune_with_codec(c: Corpus) -> DataFrame:
+    """Contexts within a budget of a codec's tokens; and how many parts are kept."""
+    codec = from_codec("fours", Fours)
+    kept, verdict = C.prune_context(c.parts, C.truncate_focal(focal(c), 10_000, codec), 400, tokenizer=codec)
+    n = kept.groupBy("repo_id", "id").agg(F.count(F.lit(1)).alias("n_kept"))
+    return verdict.join(n, ["repo_id", "id"], "left").select("id", "removed", "tokens", "ok", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
+
+
+@query("SELECT doc_id, CAST(ceil(coalesce(length(text), 0) / 4.0) AS BIGINT) AS tokens, substr(text, 1, 40) AS head FROM {documents}")
+def codec_tokens(c: Corpus) -> DataFrame:
+    codec = from_codec("fours", Fours)
+    return c.documents.select("doc_id", token_count("text", codec).alias("tokens"), truncate_tokens("text", 10, codec).alias("head"))
+
+
 @query("""SELECT id, kind, pos, part_id, CASE WHEN kind IN ('parent', 'dependency') AND c.cid IS NOT NULL THEN 'src of ' || part_id ELSE content END AS content,
   CASE WHEN kind IN ('parent', 'dependency') AND c.cid IS NOT NULL THEN 'source_code (Expanded by request)' ELSE type END AS type
 FROM fx_parts LEFT JOIN (SELECT id AS cid FROM fx_components WHERE component_type = 'method' AND start_line > 50) c ON c.cid = part_id""")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions.metrics import evaluate, register_metric
 from codeloom.operators import completeness as Q
 from codeloom.operators import documents as D
 from codeloom.operators import helpfulness as H
@@ -12,6 +15,8 @@ from codeloom.operators import truthfulness as T
 from codeloom.operators import usage as U
 from codeloom.plans.corpus import Corpus
 from codeloom.plans.registry import query
+from codeloom.session import shared_folder
+from codeloom.sources.records import write_report
 
 # --- shared inputs ----------------------------------------------------------
 
@@ -103,6 +108,31 @@ def completeness_report(c: Corpus) -> DataFrame:
     return Q.completeness_report(scores(c)).select("section", "id", "line")
 
 
+# --- evaluators and reports ---------------------------------------------------
+
+@query("""SELECT id, 'brevity' AS metric, 1.0 / (1 + length(trim(short_summary)) // 8) AS score FROM fx_docs""")
+def evaluate_metric(c: Corpus) -> DataFrame:
+    """A metric of the caller's, registered under a name and applied to all documentation."""
+    register_metric("brevity", "short summaries score high", lambda: F.lit(1.0) / (1 + F.floor(F.length(F.trim("short_summary")) / 8)))
+    return evaluate(c.docs, "brevity").select("id", "metric", "score")
+
+
+@query(f"""WITH {REQUIRED}, d AS (SELECT 'base' AS variant, 'sections' AS metric, id, size FROM (SELECT id, len(required) AS size FROM need) n)
+SELECT 'summary' AS part, NULL AS id, variant, metric, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY variant, metric
+UNION ALL SELECT 'details', id, variant, metric, size FROM d""")
+def metric_report(c: Corpus) -> DataFrame:
+    """A metric run written as a report, twice as after a failure, and read back."""
+    details = scores(c).select("repo_id", F.lit("base").alias("variant"), F.lit("sections").alias("metric"), "id", F.size("required").cast("long").alias("size"))
+    summary = details.groupBy("repo_id", "variant", "metric").agg(F.sum("size").alias("size"))
+    path = f"{shared_folder(c.spark)}/report-{uuid.uuid4().hex}"
+    for _ in range(2):
+        write_report(summary, details, path, run="one")
+    back = {part: c.spark.read.parquet(f"{path}/{part}") for part in ("summary", "details")}
+    columns = ["part", "id", "variant", "metric", "size"]
+    one = back["summary"].withColumns({"part": F.lit("summary"), "id": F.lit(None).cast("string")}).select(columns)
+    return one.unionByName(back["details"].withColumn("part", F.lit("details")).select(columns))
+
+
 # --- truthfulness -----------------------------------------------------------
 
 # the quoted items of a bracketed list, whatever stands in front of it

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,11 @@ from codeloom.operators import trace as T
 from codeloom.operators.helpfulness import has_parameters
 from codeloom.plans.corpus import Corpus
 from codeloom.plans.registry import query
-from codeloom.session import cut
+from codeloom.session import cut, shared_folder
+from codeloom.sources.files import list_inputs
+from codeloom.sources.records import read_components, write_components
+from codeloom.sources.tree import read_tree, write_tree
+from codeloom.sources.zips import scan_archives, write_archives
 
 
 def files(c: Corpus) -> DataFrame:
@@ -292,3 +298,52 @@ def hydrate(c: Corpus) -> DataFrame:
   UNION ALL SELECT mod || '.Base', concat_ws(chr(10), 'class Base(Root):', '    kind = ''base''') FROM b""")
 def class_skeletons(c: Corpus) -> DataFrame:
     return E.class_skeletons(E.extract_components(facts(c)), files(c)).select("id", "skeleton")
+
+
+# --- files and archives ------------------------------------------------------
+
+def _by_nation(c: Corpus) -> DataFrame:
+    """The derived files, a repository for each nation's folder and one for each region's own package file."""
+    parts = F.split("relative_path", "/")
+    deep = F.size(parts) > 2
+    return c.sources.select(F.when(deep, F.concat_ws("-", parts[0], F.get(parts, F.lit(1)))).otherwise(parts[0]).alias("repo_id"),
+                            F.substring_index("relative_path", "/", -1).alias("relative_path"), "source")
+
+
+_FILES = """SELECT CASE WHEN length(relative_path) - length(replace(relative_path, '/', '')) > 1 THEN split_part(relative_path, '/', 1) || '-' || split_part(relative_path, '/', 2)
+  ELSE split_part(relative_path, '/', 1) END AS repo_id, CASE WHEN length(relative_path) - length(replace(relative_path, '/', '')) > 1
+  THEN split_part(relative_path, '/', 3) ELSE split_part(relative_path, '/', 2) END AS name, source FROM fx_sources"""
+
+
+@query(f"SELECT repo_id, 'src/' || name AS relative_path, replace('src/' || regexp_replace(name, '[.]py$', ''), '/', '.') AS module_path, source FROM ({_FILES}) f")
+def scan_tree(c: Corpus) -> DataFrame:
+    """The derived sources written as files, with tests and an excluded folder beside them, and read back as one data source."""
+    root = f"{shared_folder(c.spark)}/tree-{uuid.uuid4().hex}"
+    rows = _by_nation(c).withColumn("relative_path", F.concat(F.lit("src/"), F.col("relative_path")))
+    besides = rows.select("repo_id").distinct().select("repo_id", F.explode(F.array(F.lit("tests/t.py"), F.lit("src/test_x.py"), F.lit("notes.md"))).alias("relative_path"), F.lit("x").alias("source"))
+    write_tree(rows.unionByName(besides), root)
+    return read_tree(c.spark, root).select("repo_id", "relative_path", "module_path", "source")
+
+
+@query(f"SELECT repo_id, name AS relative_path, source FROM ({_FILES}) f")
+def scan_zips(c: Corpus) -> DataFrame:
+    """The same files packed into one zip for each repository and read back by member."""
+    folder = f"{shared_folder(c.spark)}/zips-{uuid.uuid4().hex}"
+    write_archives(_by_nation(c), folder)
+    return scan_archives(c.spark, folder).select("repo_id", "relative_path", "source")
+
+
+@query(f"SELECT repo_id || '.zip' AS name, true AS has_size FROM ({_FILES}) f GROUP BY 1")
+def file_inventory(c: Corpus) -> DataFrame:
+    """Names and sizes of the uploads; contents are not read."""
+    folder = f"{shared_folder(c.spark)}/zips-{uuid.uuid4().hex}"
+    write_archives(_by_nation(c), folder)
+    return list_inputs(c.spark, folder).select("name", (F.col("size") > 0).alias("has_size"))
+
+
+@query(f"""WITH {_P}, {_COMPONENTS} SELECT id, component_type, file AS relative_path, CAST(s AS BIGINT) AS start_line, doc <> '' AS has_docstring FROM comp""")
+def component_export(c: Corpus) -> DataFrame:
+    """Components written as stored records, without their source, and read back."""
+    path = f"{shared_folder(c.spark)}/export-{uuid.uuid4().hex}"
+    write_components(E.extract_components(facts(c)), path)
+    return read_components(c.spark, path).select("id", "component_type", "relative_path", "start_line", "has_docstring")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.functions.tokens import REGEX, Tokenizer
+from codeloom.functions.tokens import REGEX, Tokenizer, from_codec
 from codeloom.operators import context as C
 
 PARTS = "repo_id string, id string, kind string, pos long, part_id string, type string, content string"
@@ -55,6 +55,31 @@ def test_prune_two_ways(parts, focal, budget=150):
     assert got["none"][0] == 0 and got["many"][0] == 4 and all(ok == (tokens <= budget) for _, tokens, ok in got.values())
 
 
+class Threes:
+    """Tokens of three characters: counts that do not add up; ``longest`` bounds a token's bytes."""
+
+    longest = 12
+
+    def encode(self, text):
+        return [text[i:i + 3] for i in range(0, len(text), 3)]
+
+    def decode(self, tokens):
+        return "".join(tokens)
+
+
+def test_prune_with_a_codec_as_by_rendering(spark, parts, focal):
+    codec = from_codec("threes", Threes)
+    slow = Tokenizer("slow", codec.count, codec.truncate)  # no codec to take into the tasks: rounds of rendering
+    more = parts.withColumn("content", F.when(F.col("kind") == "class", F.lit("")).otherwise(F.concat("content", F.lit(" \u00e9\U0001f600"))))
+    table = lambda df: sorted(tuple(r) for r in df.select("id", "kind", "pos").collect())
+    view = lambda df: {r.id: (r.removed, r.tokens, r.ok) for r in df.collect()}
+    for rows in (parts, more):
+        for budget in (0, 120, 260):
+            quick, verdict = C.prune_context(rows, focal, budget, max_steps=6, tokenizer=codec)
+            kept, checked = C.prune_context(rows, focal, budget, max_steps=6, tokenizer=slow)
+            assert view(verdict) == view(checked) and table(quick) == table(kept)
+
+
 def test_prune_order(spark, parts, focal):
     _, verdict = C.prune_context(parts, focal, 0, max_steps=5, tokenizer=REGEX)
     assert {r.id: r.removed for r in verdict.collect()} == {"all": 5, "deps": 2, "use": 1, "many": 5, "one": 1, "none": 0}
