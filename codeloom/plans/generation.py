@@ -96,7 +96,7 @@ def _pieces(parts: str) -> str:
         gone.append(k)
     counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in _KINDS)
     return f"""
-cnt AS (SELECT id, count(*) AS n_all, {counts} FROM {parts} GROUP BY 1),
+cnt AS MATERIALIZED (SELECT id, count(*) AS n_all, {counts} FROM {parts} GROUP BY 1),
 piece AS (SELECT q.*, cnt.* EXCLUDE (id), {before} + pos AS place, CASE kind {' '.join(clauses)} END AS gone_at,
   CASE WHEN pos > 1 THEN {_s(C.BLOCK_BREAK)} ELSE CASE WHEN {before} > 0 THEN chr(10) || chr(10) ELSE '' END || {_HEAD} END || {_BLOCK} AS text
   FROM {parts} q JOIN cnt USING (id))"""
@@ -126,8 +126,9 @@ def context_budget(c: Corpus) -> DataFrame:
     return C.budget_check(contexts, 400, REGEX).select("id", "tokens", "ok", "overage")
 
 
-_PRUNED = f"""{_pieces('fx_parts')}, {_FOCAL},
-sized AS MATERIALIZED (SELECT id, gone_at, len(regexp_extract_all(text, '{TOKEN_PATTERN}')) AS t FROM piece),
+# every step once and in this order; texts are measured where they are made and not kept
+_PRUNED = f"""part_row AS MATERIALIZED (SELECT * FROM fx_parts), {_pieces('part_row')}, {_FOCAL},
+sized AS MATERIALIZED (SELECT id, kind, pos, part_id, gone_at, len(regexp_extract_all(text, '{TOKEN_PATTERN}')) AS t FROM piece),
 base AS (SELECT foc.id, len(regexp_extract_all(source_code, '{TOKEN_PATTERN}')) AS f, coalesce(sum(t), 0) AS total, count(t) AS n FROM foc LEFT JOIN sized USING (id) GROUP BY 1, source_code),
 tried AS (SELECT id, CAST(0 AS BIGINT) AS k, CAST(0 AS HUGEINT) AS gone FROM base UNION ALL
   SELECT id, gone_at, sum(t) OVER (PARTITION BY id ORDER BY gone_at) FROM sized WHERE gone_at <= 20),
@@ -142,7 +143,7 @@ def prune_context(c: Corpus) -> DataFrame:
     return C.prune_context(c.parts, sized, 400, tokenizer=REGEX)[1].select("id", "removed", "tokens", "ok")
 
 
-@query(f"WITH {_PRUNED} SELECT id, kind, pos, part_id FROM piece JOIN verdict USING (id) WHERE gone_at > removed")
+@query(f"WITH {_PRUNED} SELECT id, kind, pos, part_id FROM sized JOIN verdict USING (id) WHERE gone_at > removed")
 def pruned_parts(c: Corpus) -> DataFrame:
     sized = C.truncate_focal(focal(c), 10_000, REGEX)
     return C.prune_context(c.parts, sized, 400, tokenizer=REGEX)[0].select("id", "kind", "pos", "part_id")
