@@ -8,8 +8,10 @@ A turn is rendered as ``<s>[INST] role [/INST] text </s>``.  Control strings ins
 one more backslash than stands before them, so that ``read_turns`` gives back exactly what went in.
 
 Defined results: turns come in the order of ``turn`` (null first), then role, then text; null roles and texts count as
-empty; rows with a null conv_id are one conversation; repeated rows are turns of their own.  An empty table gives
-no examples.  A conversation is put together in one task, as its digest needs it whole.
+empty; rows with a null conv_id are one conversation; repeated rows are turns of their own; equal turns come in any
+order, which changes nothing.  Long texts are taken whole.  An empty table gives no examples.  Further columns are
+ignored, whatever their names.  A conversation is put together in one row of one task, as its digest needs it whole: a
+single conversation beyond the size of a row cannot be formatted.
 """
 
 from __future__ import annotations

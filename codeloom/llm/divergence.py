@@ -8,7 +8,9 @@ Texts shorter than ``LEAST_WORDS`` are too short for a verdict by distance.
 ``measures`` gives the plain counts of a text (words, symbols, repeated lines and word windows).
 
 Defined results: a null text counts as empty: no words, all counts 0, not kept.  Rows with a null language make no
-reference; without any reference only the plain counts decide.  Repeated rows are judged alike; one row per input row.
+reference; without any reference only the plain counts decide.  Repeated rows are judged alike; one row per input row,
+none for an empty table.  Long texts are taken whole.  Of languages at the same distance, and of words equally common,
+the one that sorts first counts.  Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ driver only ever holds the matrix of log-probabilities, languages x columns, whi
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0; rows with a null language, or
 outside ``train``, are not learned from; without any learned language all rows get ``und``.  Ties go to the
-language that sorts first.  Repeated rows are scored alike; the result has one row per input row.
+language that sorts first.  Repeated rows are scored alike; the result has one row per input row, none for an empty
+table.  Long texts are counted and scored whole.  ``keep_identified`` keeps further columns, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ enough and all words of the template's mandatory key phrase stand in their place
 ``BASE`` phrases are counted besides, at all places.
 
 Defined results: a null text counts as empty; no words, no labels, score 0.  Repeated rows are judged alike; one row per
-input row.  A word inserted inside a notice shifts what follows; the occurrence then rests on the words of one side.
+input row, none for an empty table.  Long texts are searched whole.  Templates that fit equally well are all reported.
+Further columns are ignored, whatever their names.  A word inserted inside a notice shifts what follows; the occurrence then rests on the words of one side.
 """
 
 from __future__ import annotations

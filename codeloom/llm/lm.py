@@ -11,7 +11,8 @@
 
 Defined results: a null text is empty and consists of its end alone.  Without training documents the model is uniform
 over its classes.  Words longer than ``LONGEST`` bytes are counted under a digest.  Repeated rows count and are scored
-each by itself.
+each by itself.  Long texts are scored whole.  An empty table has no result; words that are equally common are ordered by
+their bytes.  Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

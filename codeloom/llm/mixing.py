@@ -11,7 +11,9 @@ whose levels are rows of a table, with no more than ``BLOCK`` rows in any group.
 
 Defined results: a null text has size 0; a null source is a source of its own, the last one; documents of size 0 take
 0 words; without any words all targets are 0.  Repeated rows are documents of their own.  Random numbers are hashes of
-the source and the documents' places in the order (doc_id, size), so reruns agree.
+the source and the documents' places in the order (doc_id, size), so reruns agree; documents that tie there are alike for
+the mix.  Long texts are taken whole; no text moves, only sizes do.  An empty table gives an empty mix.  ``mix`` keeps
+further columns, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ inside an exception phrase does not count.  The score is 1 - exp(-S / N), S the
 the number of words, so that long texts need more.
 
 Defined results: null and empty texts score 0; rows without a label (or outside ``train``) are not learned from;
-without any toxic label every score is 0.  A row is judged by its own text alone, repeated rows alike.
+without any toxic label every score is 0.  A row is judged by its own text alone, repeated rows alike; one row per input
+row, none for an empty table.  Long texts are matched whole.  ``keep_harmless`` keeps further columns, whatever their names.
 """
 
 from __future__ import annotations

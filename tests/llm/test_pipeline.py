@@ -40,5 +40,5 @@ def test_chat_query_against_sql(spark):
 
 
 def test_names():
-    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert duckdb and set(ORACLES) <= set(QUERIES)
