@@ -4,6 +4,10 @@
 
 Every stage gets the documents that the stage before kept, written as Parquet and read again, so that a lost executor
 never costs more than one stage.  The last stage adds how often a document is taken (``copies``).
+
+Defined results: what is said of nulls, empty and long texts, ties and repeated rows where the operators are defined
+holds for the stages.  Texts that are null or have no letter go with the first stage; equal rows are one document from
+the third on.  Further columns of any name are kept.  An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ STAGES = [
     ("mixing", mixing.stage),
 ]
 
-#: The classifiers and the rounding cannot be written in SQL; tests compare the stages with brute force.
+#: The classifiers and the rounding cannot be written in SQL; tests compare the kept ids of the stages with plain
+#: recomputations of each stage on its own input.
 ORACLE_SQL = None
 
 
