@@ -11,6 +11,8 @@ import io
 import numpy as np
 
 LEAF = 64
+#: Queries that visit a node's children in an order of their own at least.
+APART = 256
 #: Share of the largest norm by which rounded distances may be off; a bound must exceed it to cut.
 SLACK = 1e-6
 
@@ -127,8 +129,16 @@ class Search:
         v = self.up[t.vantage[node]]
         d = np.sqrt(np.maximum(self.far2[rows] - 2 * (self.q[rows] @ v[:-1]), 0))
         near = d <= (t.high[t.inside[node]] + t.low[t.outside[node]]) / 2
-        for mine, first, second in ((near, t.inside[node], t.outside[node]), (~near, t.outside[node], t.inside[node])):
-            for child in (first, second):  # the nearer side first: it tightens the bound for the other
+        # the nearer side first: it tightens the bound for the other; few queries go with the many
+        inward = int(near.sum())
+        if min(inward, len(rows) - inward) >= APART:
+            turns = ((near, t.inside[node], t.outside[node]), (~near, t.outside[node], t.inside[node]))
+        elif 2 * inward >= len(rows):
+            turns = ((slice(None), t.inside[node], t.outside[node]),)
+        else:
+            turns = ((slice(None), t.outside[node], t.inside[node]),)
+        for mine, first, second in turns:
+            for child in (first, second):
                 go = rows[mine][self._open(child, rows[mine], d[mine])]
                 if len(go):
                     self._visit(child, go)
