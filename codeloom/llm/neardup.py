@@ -244,6 +244,8 @@ def components(linked: DataFrame) -> DataFrame:
         if before is not None:
             release(before)
         if not now.where(F.col("root") != F.col("before")).limit(1).count():
+            release(edges)
+            labels._written_to = now._written_to
             return labels
 
 
@@ -251,8 +253,22 @@ def merged(roots: DataFrame, linked: DataFrame) -> DataFrame:
     """(key, root) with the classes joined that the links lead between; only classes take part, not their members."""
     ends = linked.select("a", "b").join(roots.select(F.col("key").alias("a"), F.col("root").alias("x")), "a").join(roots.select(F.col("key").alias("b"), F.col("root").alias("y")), "b")
     between = ends.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    further = components(between).select(F.col("key").alias("root"), F.col("root").alias("to"))
-    return cut(roots.join(further, "root", "left").select("key", F.coalesce("to", "root").alias("root")))
+    labels = components(between)
+    further = labels.select(F.col("key").alias("root"), F.col("root").alias("to"))
+    out = cut(roots.join(further, "root", "left").select("key", F.coalesce("to", "root").alias("root")))
+    release(labels)
+    return out
+
+
+def compared(bodies: DataFrame, roots: DataFrame, pairs: DataFrame) -> tuple[DataFrame, bool]:
+    """``merged`` by the links among the pairs, and whether there are any; what was written on the way is deleted."""
+    pairs = cut(pairs)
+    found = links(bodies, pairs)
+    some = found.limit(1).count() > 0
+    out = merged(roots, found) if some else roots
+    for table in (pairs, found, *([roots] if some else [])):
+        release(table)
+    return out, some
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -263,17 +279,20 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = bucketed(texts)
     roots = cut(members.select("key").distinct().withColumn("root", F.col("key")))
     bodies = _texts(docs, roots)
-    roots = merged(roots, links(bodies, cut(candidates(members))))
+    roots, _ = compared(bodies, roots, candidates(members))
     rest = unsettled(members, roots)
+    release(members)
     if rest.limit(1).count():
         rare = rare_rows(bodies.join(rest, "key", "left_semi"))
-        for _ in range(TURNS):
-            found = links(bodies, cut(witnesses(rare, roots)))
-            if not found.limit(1).count():
-                break
-            roots = merged(roots, found)
-        roots = merged(roots, links(bodies, cut(rare_pairs(rare, roots))))
+        some, turns = True, 0
+        while some and turns < TURNS:
+            roots, some = compared(bodies, roots, witnesses(rare, roots))
+            turns += 1
+        roots, _ = compared(bodies, roots, rare_pairs(rare, roots))
+        release(rare)
+    release(bodies)
     own = cut(texts.select("key", "first", "copies").join(roots, "key", "left").select("key", F.coalesce("root", "key").alias("root"), "first", "copies"))
+    release(texts)
     best = own.groupBy("root").agg(F.min(F.struct("first.none", "first.doc_id", "key")).alias("best"), F.sum("copies").alias("class_size"))
     return rows.select("key", "doc_id"), own.join(best, "root").select(
         "key", "root", F.col("best.doc_id").alias("class_id"), F.col("best.key").alias("kept_key"), "class_size")
