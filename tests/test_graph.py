@@ -136,6 +136,23 @@ def test_first_containing(spark):
     assert got == {("r", "ab"): "abc", ("r", ""): "abc", ("r", "abc"): "abc"}
 
 
+@pytest.mark.parametrize("few", [0, 16])
+def test_first_containing_without_broadcast_pieces(spark, monkeypatch, few):
+    """Texts cut into pieces are never broadcast, whatever their files' size; the result is that of all pairs."""
+    monkeypatch.setattr(K, "FEW", few, raising=False)
+    monkeypatch.setattr(K, "LOOKUP_ROWS", -1, raising=False)
+    texts = [f"m{i}" for i in range(0, 400, 7)] + [f"long_name_of_m{i}_é𝒳" for i in range(0, 60, 3)] + ["", "a\nb"]
+    wanted = ["", "m", "m1", "7", "m39", "é𝒳", "𝒳", "name_of_m", "long_name_of_m3_é𝒳", "ng_name_of_m5", "\nb", "m4000", ".", "zz_no_such_name"]
+    got = {r.needle: r.found for r in K.first_containing(
+        spark.createDataFrame([("r", w) for w in wanted] + [("s", "m")], "repo_id string, needle string"),
+        spark.createDataFrame([("r", t) for t in texts], "repo_id string, text string"), ["repo_id"], "needle", "text").collect()}
+    assert got == {w: min(t for t in texts if w in t) for w in wanted if any(w in t for t in texts)}
+    plan = K.first_containing(
+        spark.createDataFrame([("r", w) for w in wanted], "repo_id string, needle string"),
+        spark.createDataFrame([("r", t) for t in texts], "repo_id string, text string"), ["repo_id"], "needle", "text")
+    assert "BroadcastExchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_collapse_init_and_restrict(spark):
     comps = spark.createDataFrame([("r", "m.C", "class"), ("r", "m.C.__init__", "method"), ("r", "m.__init__", "function"), ("r", "m.f", "function")],
                                   "repo_id string, id string, component_type string")
