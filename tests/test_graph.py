@@ -119,6 +119,16 @@ def test_ego_dot(spark):
     assert G.ego_counts(comps, ego).first()[1:] == (3, 1)
 
 
+def test_ego_dot_numbers_hubs_only(spark, monkeypatch):
+    """Texts that fit into one part are laid out without sorting their lines as rows."""
+    comps = spark.createDataFrame([("r", "m.A", "class"), ("r", "m.g", "function")], "repo_id string, id string, component_type string")
+    ego = G.ego_edges(comps, spark.createDataFrame([("r", "m.g", "m.A"), ("r", "m.g", "m.g")], "repo_id string, src string, dst string"))
+    asked = []
+    monkeypatch.setattr(G, "numbered", lambda *a: asked.append(a) or K.numbered(*a))
+    texts = {r.focal: r.dot.split("\n")[4:] for r in G.ego_dot(comps, ego).collect()}
+    assert not asked and [line.split(" [")[0] for line in texts["m.g"]] == ['\t"m.g"', '\t"m.A"', '\t"m.g" -> "m.A"', '\t"m.g" -> "m.g"', '\t"m.g" -> "m.g"', "}"]
+
+
 def test_numbered_matches_window(spark):
     rows = [(("hot" if i % 3 else f"k{i % 7}"), (i * 37) % 101, i) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, v int, i int")
