@@ -163,6 +163,26 @@ def test_first_containing_without_broadcast_pieces(spark, monkeypatch, few):
     assert "BroadcastExchange" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_dependency_lists_compute_edges_once(spark, monkeypatch):
+    comps = spark.createDataFrame([("r", x) for x in "abc"], "repo_id string, id string")
+    edges = spark.createDataFrame([("r", "a", "b"), ("r", "a", "c"), ("r", "c", "b"), ("r", "a", "b")], "repo_id string, src string, dst string")
+    seen, real = [], R.used_by_lists
+    monkeypatch.setattr(R, "used_by_lists", lambda e, size: seen.append(e) or real(e, size))
+    got = {(r.id, r.part): (r.depends_on, r.used_by) for r in R.with_dependency_lists(comps, edges, 1).collect()}
+    assert got == {("a", 0): (["b"], []), ("a", 1): (["c"], []), ("b", 0): ([], ["a"]), ("b", 1): ([], ["c"]), ("c", 0): (["b"], ["a"])}
+    assert len(seen) == 2 and all(e.inputFiles() for e in seen)  # read from one table
+
+
+def test_candidates_by_position(spark):
+    """Each candidate by its place is the item of the array, which is not made."""
+    rows = [("p.q.C.m", "method", "top/x.y"), ("p.q.f", "function", "z"), ("f", "function", "top.z"), ("C.m", "method", "z")]
+    calls = spark.createDataFrame(rows, "caller_id string, caller_type string, raw_callee string")
+    every = calls.select("*", F.posexplode(R.callee_candidates("raw_callee", "caller_id", "caller_type", "top")).alias("pos", "want"))
+    depth = F.greatest(F.size(F.split("caller_id", r"\.")) - F.when(F.col("caller_type") == "method", 2).otherwise(1), F.lit(0))
+    got = every.select("pos", "want", R._candidate(F.col("pos"), depth, "top").alias("got"), depth.alias("depth")).collect()
+    assert all(r.got == r.want and r.pos <= r.depth + 1 for r in got) and len(got) == 4 * 2 + sum(r.pos >= 2 for r in got)
+
+
 def test_collapse_init_and_restrict(spark):
     comps = spark.createDataFrame([("r", "m.C", "class"), ("r", "m.C.__init__", "method"), ("r", "m.__init__", "function"), ("r", "m.f", "function")],
                                   "repo_id string, id string, component_type string")
