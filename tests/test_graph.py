@@ -239,3 +239,44 @@ def test_long_cycles_and_chains_take_few_rounds(spark, monkeypatch):
     rounds.clear()
     got = G.levels(ids, chain, alone).select((F.col("level") + F.substring("id", 2, 9).cast("long")).alias("sum")).distinct().collect()
     assert [r[0] for r in got] == [n - 1] and rounds.count("turn") <= 25
+
+
+def test_dense_graphs_are_merged_before_their_edges_go_round(spark, monkeypatch):
+    """What a sample shows to be on common cycles is merged: few of the edges are left for the contraction."""
+    rnd, n = random.Random(5), 90
+    dense = {(f"n{rnd.randrange(n):02d}", f"n{rnd.randrange(n):02d}") for _ in range(3500)}
+    dense = {(a, b) for a, b in dense if a != b}
+    tail = {("n00", "t0"), ("t0", "t1"), ("t1", "t0"), ("h0", "n01"), ("h1", "h0")}  # below and above the dense part
+    graphs = {"d": ([f"n{i:02d}" for i in range(n)] + ["alone"], dense | tail), "s": random_graph(3, 20, 40)}  # t0, t1, h0, h1 are only ends
+    nodes, edges = tables(spark, graphs)
+    seen = []
+    monkeypatch.setattr(G, "contract", lambda pairs, *a, **k: (seen.append(pairs.count()), C.contract(pairs, *a, **k))[1])
+    members = G.cut(G.scc(nodes, edges.unionByName(edges)))
+    got = {(r.repo_id, r.id): r.scc_id for r in members.collect()}
+    want = {(repo, v): m for repo, (ns, es) in graphs.items() for v, m in components_of(sorted({*ns, *(x for e in es for x in e)}), es).items()}
+    assert got == want
+    assert seen[0] < len(dense) / 3, (seen, len(dense))
+    between = {(r.repo_id, r.src_scc, r.dst_scc) for r in G.condense(members, edges).collect()}
+    assert between == {(repo, want[repo, a], want[repo, b]) for repo, (_, es) in graphs.items() for a, b in es if want[repo, a] != want[repo, b]}
+
+
+def test_names_with_one_number_are_numbered_anew(spark, graphs, monkeypatch):
+    right = G._number
+    monkeypatch.setattr(G, "_number", lambda id_, seed: F.pmod(right(id_, seed), F.lit(7)) if seed == 0 else right(id_, seed))
+    nodes, edges = tables(spark, {"y": graphs["y"]})
+    members = G.cut(G.scc(nodes, edges))
+    want = components_of(*graphs["y"])
+    assert {r.id: r.scc_id for r in members.collect()} == want
+    assert {(r.src_scc, r.dst_scc) for r in G.condense(members, edges).collect()} == {(want[a], want[b]) for a, b in graphs["y"][1] if want[a] != want[b]}
+
+
+def test_lean_views_have_the_rows_of_the_views(spark):
+    from codeloom.plans import corpus
+
+    c = corpus.Corpus(spark, "/root/testdata/sf0.001")
+    for name in corpus.LEAN:
+        tables_ = {t: c.table(t) for t in corpus.BASE_TABLES if "{" + t + "}" in corpus.with_views(f"SELECT * FROM {name}")}
+        plain, lean = spark.sql(corpus.with_views(f"SELECT * FROM {name}"), **tables_), c.view(name)
+        assert plain.columns == lean.columns and plain.count() == lean.count() and not plain.exceptAll(lean).take(1), name
+    plan = c.graph._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_linenumber") and sum("Relation" in x and "l_linenumber" in x for x in plan.splitlines()) == 1  # read once
