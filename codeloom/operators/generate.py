@@ -279,6 +279,7 @@ def generate_by_level(order: DataFrame, make: Callable[[DataFrame, DataFrame], D
     spark = order.sparkSession
     place = place or f"{shared_folder(spark)}/docs-{uuid.uuid4().hex}"
     schema = "repo_id string, id string, docstring string"
+    order = cut(order.repartitionByRange("level", "repo_id", "id"))  # a level is read from its own files
     top = order.agg(F.max("level")).first()[0]
     docs = spark.createDataFrame([], schema)
     for level in range((-1 if top is None else top) + 1):
