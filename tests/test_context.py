@@ -117,3 +117,28 @@ def test_expand_and_merge(spark, parts):
     assert sorted((r.id, r.pos, r.part_id, r.content) for r in merged) == sorted([
         ("all", 1, "m.external1", "newer"), ("all", 2, "m.external2", "x y z"), ("all", 3, "q", "b"), ("new", 1, "q", "c"), ("one", 1, "m.external1", "x y z")])
     assert merged[0].type == "answer" and F.col("x") is not None
+
+
+def test_tokens_are_counted_without_lists_of_them(spark):
+    import re
+
+    from codeloom.functions.tokens import TOKEN_PATTERN
+    texts = ["", "  ", " a b ", "é x\xa0y", "a\u2003b", "😀😀a_1", "\x0b\x0c\x1c a", "a.b..c", "\n", "$1 \\ x", "ab-c d" * 40 + "  ", "a" * 9000 + " " * 9000]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", REGEX.count(F.col("t")).alias("n"), REGEX.truncate(F.col("t"), 3).alias("cut"))
+    for r in rows.collect():
+        found = list(re.finditer(TOKEN_PATTERN, r.t, re.ASCII))
+        assert r.n == len(found), r.t[:20]
+        assert r.t.startswith(r.cut) and len(re.findall(TOKEN_PATTERN, r.cut, re.ASCII)) == min(3, len(found)), r.t[:20]
+    assert "regexp_extract_all" not in rows._jdf.queryExecution().optimizedPlan().toString()  # 14 s against 1.3 s for 2,000,000 texts
+
+
+def test_only_parts_that_may_be_expanded_are_joined(spark):
+    from codeloom.plans import corpus
+    c = corpus.Corpus(spark, "/root/testdata/sf0.001")
+    plain = corpus.with_views("SELECT * FROM fx_parts")
+    want = spark.sql(plain, **{t: c.table(t) for t in corpus.BASE_TABLES if "{" + t + "}" in plain})
+    assert want.columns == c.parts.columns and want.count() == c.parts.count() and not want.exceptAll(c.parts).take(1)
+    asked = c.parts.select("repo_id", "id", "part_id")
+    sources = spark.createDataFrame([("corpus", "none", "text")], "repo_id string, id string, source_code string")
+    plan = C.expand_requested(c.parts, asked, sources)._jdf.queryExecution().optimizedPlan().toString()
+    assert "NOT coalesce(kind" in plan or "Union" in plan.splitlines()[0], plan[:300]
