@@ -83,3 +83,24 @@ def test_ends_wait_for_their_start_and_no_longer(spark, feed, tmp_path):
     go(job(a, b))
     got = {r.run_id: (r.agent, r.matched) for r in written().collect()}
     assert got == {1: ("Writer", True), 3: ("inner", False), 4: ("unknown", False), 9: ("unknown", False), 7: ("t7", True), 2: ("lost", False), 5: ("unknown", False)}
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_runs_of_one_group_keep_apart(spark, feed, groups):
+    put, go, written = feed
+    starts = "run_id long, tags array<string>, ts timestamp"
+    ends = "run_id long, component_id string, chain_tags array<string>, ts timestamp, input_tokens long, output_tokens long, total_tokens long"
+    end = lambda run, t: (run, f"c{run}", [f"e{run}"], at(t), run, 2, 3)
+    job = lambda a, b: S.pair_calls_in_time(a, b, wait="20 minutes", longest="1 hour", delay="1 minute", groups=groups)
+    a = put("starts", [(i, [f"s{i}"], at(i % 7)) for i in range(0, 200, 2)], starts)
+    b = put("ends", [end(i, 8) for i in range(100)] + [end(999, 35)], ends)
+    go(job(a, b))  # the watermark is at minute 34: the 50 ends without a start have waited long enough; 999 waits
+    got = {r.run_id: (r.component_id, r.agent, r.matched, r.input_tokens) for r in written().collect()}
+    assert got == {i: (f"c{i}", f"s{i}" if i % 2 == 0 else f"e{i}", i % 2 == 0, i) for i in range(100)}
+    a = put("starts", [(1000, ["x"], at(50))], starts)
+    b = put("ends", [end(i, 40) for i in range(100, 200)] + [end(2000, 500)], ends)  # starts of the first run are kept
+    go(job(a, b))
+    rows = written().collect()
+    assert len(rows) == len({r.run_id for r in rows}) == 201 and {r.run_id for r in rows if r.matched} == set(range(0, 200, 2))
+    held = spark.read.format("statestore").option("stateVarName", "ends").load(str(written().inputFiles()[0].rsplit("/out/", 1)[0]) + "/ckpt")
+    assert held.count() <= groups  # before: one for each run
