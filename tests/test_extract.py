@@ -143,3 +143,64 @@ def test_skeletons(facts, make_files):
     got = {r.id: r.skeleton for r in E.class_skeletons(E.extract_components(facts), files).collect()}
     assert got["m.basic.Thing"].startswith("@deco.make(1)") and got["m.basic.Thing"].endswith("self.deep = 1")
     assert got["m.basic.Inner"].endswith("def go(self): pass")
+
+
+NESTED = '''@made((yield_ for yield_ in ()))
+class A(base.B, key=lambda: (yield)):
+    long: dict[str, "x"] = {**more, "k": -1.5}
+    @first(warnings.warn("head", old.kind))
+    def run(self, a, /, b: int = 1, *, c=(1, 2), **rest: tuple[int, ...]) -> "None":
+        class Deep[T](Generic[T]):
+            def go(self, *, only: str = 'q') -> x.y:
+                match self.left:
+                    case Point(px=0, other=[first, *_]) if first.ok: raise Odd(self.a[b].c, key=1) from e
+                    case {"k": v, **others}: return v
+        try: warn(f"{a!r:>{b}}")
+        except (E1, mod.E2) as e: raise
+        async def inner(z=lambda q: (yield)): return [i async for i in z]
+if (walrus := top()):
+    class InIf:
+        def late(*args: int): yield from args
+'''
+
+
+def test_nested_components_have_what_a_plain_walk_finds(make_files):
+    import ast
+    tree, want, does = ast.parse(NESTED), {}, {}
+    for c in ast.walk(tree):
+        if isinstance(c, ast.ClassDef):
+            for cid, node in [(f"n.{c.name}", c)] + [(f"n.{c.name}.{m.name}", m) for m in c.body if isinstance(m, (ast.FunctionDef, ast.AsyncFunctionDef))]:
+                want[cid] = {E._dotted(s, True) for s in ast.walk(node) if isinstance(s, (ast.Name, ast.Attribute))}
+                inside = [s for stmt in node.body for s in ast.walk(stmt)]
+                does[cid] = {n for n, kinds in (("has_yield", (ast.Yield, ast.YieldFrom)), ("has_raise", ast.Raise)) if any(isinstance(s, kinds) for s in inside)}
+    found = cut(E.extract_facts(make_files({"n.py": NESTED})))
+    got = {cid: set() for cid in want}
+    for r in found.where("fact = 'ref'").collect():
+        got[r.owner].add(r.name)
+    assert got == want
+    did = {cid: set() for cid in does}
+    for r in found.where("fact = 'does' AND name IN ('has_yield', 'has_raise')").collect():
+        did[r.owner].add(r.name)
+    assert did == does
+    signatures = {r.owner: r.text for r in found.where("fact = 'component'").collect()}
+    assert signatures["n.A.run"] == "def run(self, a, /, b: int=1, *, c=(1, 2), **rest: tuple[int, ...]) -> 'None':"
+    assert signatures["n.Deep.go"] == "def go(self, *, only: str='q') -> x.y:" and signatures["n.Deep"] == "class Deep[T](Generic[T]):"
+
+
+def test_nodes_are_read_once_however_deep_components_nest(monkeypatch):
+    depth = 20
+    lines = [" " * d + f"class C{d}:" for d in range(depth)] + [" " * depth + "def go(self): raise Odd(a.b[0], key=1)"]
+    made = []
+    plain = E.ast.unparse
+    monkeypatch.setattr(E.ast, "unparse", lambda node: made.append(node) or plain(node))
+    walked = []
+    walk = E.ast.walk
+    monkeypatch.setattr(E.ast, "walk", lambda node: (walked.append(s) or s for s in walk(node)))
+    rows = list(E._file_facts("m", "\n".join(lines)))
+    assert len(made) <= 5 and len(walked) <= 200 and len(rows) > depth
+
+
+def test_long_sums_in_class_bodies(make_files):
+    facts = cut(E.extract_facts(make_files({"m/long.py": "class Long:\n    text = " + " + ".join(["'a'"] * 1500) + "\n"})))
+    assert not E.parse_errors(facts).take(1)
+    assert rows(E.extract_attributes(facts), "name", "origin") == [("text", "class_level")]
