@@ -21,7 +21,7 @@ from codeloom.functions.tokens import Tokenizer
 from codeloom.operators.context import MAX_TOKENS, assemble, expand_requested, merge_external
 from codeloom.operators.skew import numbered
 from codeloom.schemas import DOCUMENTATION, NEED, REPORT
-from codeloom.session import cut, shared_folder
+from codeloom.session import cut, moves_deleted, shared_folder
 
 # --- fixed values -----------------------------------------------------------
 MAX_REJECTIONS = 2
@@ -286,7 +286,8 @@ def generate_by_level(order: DataFrame, make: Callable[[DataFrame, DataFrame], D
         done = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/level={level}/_SUCCESS")  # written when a level is whole
         if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
             made = make(order.where(F.col("level") == level), docs).select(*KEY, "docstring")
-            made.write.mode("overwrite").parquet(f"{place}/level={level}")
+            with moves_deleted(spark):
+                made.write.mode("overwrite").parquet(f"{place}/level={level}")
         docs = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(place)
     return docs
 
