@@ -162,3 +162,17 @@ def test_moves_of_a_written_table_are_deleted(spark):
         assert table.count() == 200_000
         assert sum(p.stat().st_size for p in files() - before) < 100_000  # the count's own; the rows take over a megabyte
     assert spark.conf.get(CLEANUP) == "false"
+
+
+def test_pieces_are_collected_where_they_met_their_counts(spark, kept_plans, no_broadcast):
+    from codeloom.functions.tokens import from_codec
+    from codeloom.plans.generation import Fours
+    parts = spark.createDataFrame([("r", f"m{k}", "dependency", p, f"d{p}", "documentation", "x" * 40) for k in range(3) for p in range(1, 5)],
+                                  "repo_id string, id string, kind string, pos long, part_id string, type string, content string")
+    focal = spark.createDataFrame([("r", f"m{k}", 10 * k) for k in range(4)], "repo_id string, id string, focal_tokens long")
+    left, verdict = C.prune_context(parts, focal, 130, tokenizer=from_codec("fours", Fours))
+    assert len(kept_plans) == 2  # the parts and the verdict; no texts
+    moves = [line for line in re.findall(r"Exchange hashpartitioning\(.*", kept_plans[1])]
+    assert len(moves) == 3  # counts, parts, focal
+    assert verdict.count() == 4 and verdict.where("ok").count() == 4
+    assert left.groupBy("id").count().count() == 3 and verdict.where("removed = 0").count() == 1
